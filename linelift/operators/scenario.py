@@ -97,6 +97,70 @@ def scenario_totals(projected: DataFrame, keys: Sequence[str] = ("bureau_hit", "
     return projected.groupBy(*keys).agg(*aggs)
 
 
+def _add_skipping_nulls(a: Column, b: Column) -> Column:
+    """a + b where a null operand counts as absent; null only if both are."""
+    return F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(
+        F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+
+
+def grouped_scenario_totals(lines: DataFrame, keys: Sequence[str] = ("bureau_hit", "risk_label"),
+                            bench_keys: Sequence[str] = BENCHMARK_KEYS,
+                            milestones: Sequence[int] = REPORTED_MILESTONES) -> DataFrame:
+    """D11 + D12 + D13 in two aggregations, without joining benchmarks back.
+
+    A row without a positive limit is projected as (peer mean utilisation x new
+    limit [x peer rate]); all three factors are constant inside a peer group
+    (``new_limit`` is a peer key). So the projected sum of a group is its own
+    rows' sum plus that constant times the group's count of such rows, and a
+    group with a null key gets no peer term (the equi-join in the source never
+    matches it). The same totals as :func:`scenario_totals` over
+    :func:`project_balances` (up to the order double sums are added in), with
+    one pass over the lines: partial aggregation handles hot peer groups, and
+    nothing joins a large table to a low-cardinality one.
+    """
+    lim, new = F.col("credit_limit"), F.col("new_limit")
+    has_limit = lim > 0
+    aggs = [
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.when(F.col("account_id") > 0, 1).otherwise(0)).alias("n_accounts"),
+        F.count_if(~F.coalesce(has_limit, F.lit(False))).alias("n_peer"),
+    ]
+    for m in milestones:
+        aggs += [
+            safe_divide(F.sum(f"accts_dq_{m}m"), F.sum(f"accts_{m}m")).alias(f"rate_dq_{m}m"),
+            F.avg(safe_divide(floor_zero(f"bal_{m}m"), lim)).alias(f"util_{m}m"),
+            F.avg(safe_divide(floor_zero(f"bal_dq_{m}m"), lim)).alias(f"util_dq_{m}m"),
+            F.sum(F.when(has_limit, safe_divide(floor_zero(f"bal_{m}m"), lim) * new))
+            .alias(f"own_{m}m"),
+            F.sum(F.when(has_limit, safe_divide(floor_zero(f"bal_dq_{m}m"), lim) * new))
+            .alias(f"own_dq_{m}m"),
+            F.sum(f"bal_{m}m").alias(f"act_{m}m"),
+            F.sum(f"bal_dq_{m}m").alias(f"act_dq_{m}m"),
+        ]
+    groups = lines.groupBy(*bench_keys).agg(*aggs)
+    matched = F.lit(True)
+    for k in bench_keys:
+        matched &= F.col(k).isNotNull()
+    peer = matched & (F.col("n_peer") > 0)
+    n_peer = F.col("n_peer").cast("double")
+    groups = groups.withColumns({
+        **{f"peer_{m}m": F.when(peer, F.col(f"util_{m}m") * new * n_peer) for m in milestones},
+        **{f"peer_dq_{m}m": F.when(peer, F.col(f"util_dq_{m}m") * new * F.col(f"rate_dq_{m}m")
+                                   * n_peer) for m in milestones},
+    })
+    out = [F.sum("n_rows").alias("applications"),
+           F.sum("n_accounts").cast("bigint").alias("accounts")]
+    for m in milestones:
+        out += [money_sum(f"act_{m}m").alias(f"total_bal_{m}m"),
+                money_sum(f"act_dq_{m}m").alias(f"total_bal_dq_{m}m")]
+    for m in milestones:
+        out += [_add_skipping_nulls(F.sum(f"own_{m}m"), F.sum(f"peer_{m}m"))
+                .alias(f"total_bal_{m}m_new"),
+                _add_skipping_nulls(F.sum(f"own_dq_{m}m"), F.sum(f"peer_dq_{m}m"))
+                .alias(f"total_bal_dq_{m}m_new")]
+    return groups.groupBy(*keys).agg(*out)
+
+
 def delinquency_ratios(totals: DataFrame, keys: Sequence[str] = ("bureau_hit", "risk_label"),
                        milestones: Sequence[int] = REPORTED_MILESTONES,
                        digits: int = 9) -> DataFrame:

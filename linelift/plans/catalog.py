@@ -103,7 +103,7 @@ def q_project_balances(t: Tables, p: Params = DEFAULT) -> DataFrame:
 
 
 def _totals(t: Tables, p: Params, keys) -> DataFrame:
-    proj = R.scenario_projection(t, p).where(F.col("bureau_hit").isin(*facts.ALL_BUREAU))
+    proj = R.scenario_projection(t, p, statuses=facts.ALL_BUREAU)
     return scenario.scenario_totals(proj, keys)
 
 

@@ -21,8 +21,8 @@ from linelift.operators.profiles import (account_profile, activation_flag,
                                          milestone_delinquency, milestone_values,
                                          origination_limit, profit_milestones, restrict)
 from linelift.operators.scenario import (attach_benchmarks, delinquency_ratios,
-                                         peer_benchmarks, project_balances, scenario_totals,
-                                         target_limit, what_if_limit)
+                                         grouped_scenario_totals, peer_benchmarks,
+                                         project_balances, target_limit, what_if_limit)
 from linelift.operators.summaries import (count_by_status, limit_summary, pivot_risk_levels,
                                           roi_by_horizon, share_of_partition, share_of_total)
 from linelift.plans.params import DEFAULT, Params
@@ -134,15 +134,29 @@ def scenario_lines(t: Tables, p: Params, *, target: bool = False) -> DataFrame:
     return what_if_limit(lines, floor=p.target_limit, min_income=p.min_income)
 
 
-def scenario_projection(t: Tables, p: Params, *, target: bool = False) -> DataFrame:
+def scenario_projection(t: Tables, p: Params, *, target: bool = False,
+                        statuses: tuple[str, ...] | None = None) -> DataFrame:
+    """Scenario lines with peer benchmarks attached and balances projected.
+
+    With ``statuses``, only lines of those bureau statuses are kept. The
+    source filters after projecting, but ``bureau_hit`` is a benchmark key, so
+    benchmark groups of other statuses could never be attached to a kept line:
+    filtering first gives the same rows, and lets the benchmark and the lines
+    share one computed input (one exchange, reused) instead of two.
+    """
     lines = scenario_lines(t, p, target=target)
+    if statuses is not None:
+        lines = lines.where(F.col("bureau_hit").isin(*statuses))
     return project_balances(attach_benchmarks(lines, peer_benchmarks(lines)))
 
 
 def _delinquency_what_if(t: Tables, p: Params, target: bool) -> DataFrame:
+    """Peer benchmarks, projections and totals as two aggregations over the
+    scenario lines (see ``grouped_scenario_totals``); ``scenario_projection``
+    is the row-level form of the same computation."""
     statuses = HIT_NOHIT if target else ALL_BUREAU
-    projected = scenario_projection(t, p, target=target).where(F.col("bureau_hit").isin(*statuses))
-    return (delinquency_ratios(scenario_totals(projected))
+    lines = scenario_lines(t, p, target=target).where(F.col("bureau_hit").isin(*statuses))
+    return (delinquency_ratios(grouped_scenario_totals(lines))
             .orderBy("bureau_hit", "risk_label"))
 
 

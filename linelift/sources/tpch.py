@@ -43,7 +43,10 @@ def customer_month(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.year(ship).cast("int").alias("yr"),
                  F.month(ship).cast("int").alias("mo"))
         .agg(
-            F.min("o_orderstatus").alias("status_code"),
+            # o_orderstatus is CHAR(1): the min of its code point is the min of
+            # the string, and keeps the aggregate a HashAggregate (a string
+            # min/max forces a sort-based aggregate).
+            F.min(F.ascii("o_orderstatus")).alias("status_point"),
             F.max("l_linenumber").alias("delinquency_level"),
             F.sum(F.when(returned, -100).otherwise(100) * qty).alias("net_units"),
             F.min("l_extendedprice").alias("min_price"),
@@ -72,7 +75,7 @@ def account_month(cm: DataFrame) -> DataFrame:
     return conform(cm.select(
         "account_id", "yr", "mo",
         F.lit(PRODUCT_CODE).alias("info_type"),
-        "status_code",
+        F.chr("status_point").alias("status_code"),
         F.col("delinquency_level").cast("int").alias("delinquency_level"),
         balance.alias("balance"),
         limit.alias("credit_limit"),
