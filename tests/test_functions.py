@@ -1,0 +1,102 @@
+"""Column helpers on hand-computed cases (FIXTURES.md section 3)."""
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from linelift.functions.bands import BAND_LABELS, limit_band
+from linelift.functions.columns import (clean_label, floor_zero, month_diff, month_trunc,
+                                        period_label, safe_divide)
+from linelift.operators.facts import open_account_months
+from linelift.operators.profiles import activation_flag, origination_limit
+from fixtures import d, month, tables
+
+
+def one(spark, expr, schema, row):
+    return spark.createDataFrame([row], schema).select(expr.alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize("a,b,expected", [(1, 0, None), (None, 2, None), (1, 4, 0.25), (0, 0, None)])
+def test_safe_divide(spark, a, b, expected):
+    assert one(spark, safe_divide("a", "b"), "a int, b int", (a, b)) == expected
+
+
+@pytest.mark.parametrize("x,expected", [(None, None), ("-5", "0.00"), ("7.25", "7.25")])
+def test_floor_zero_keeps_null(spark, x, expected):
+    v = one(spark, floor_zero("x"), "x decimal(18,2)", (None if x is None else Decimal(x),))
+    assert v == (None if expected is None else Decimal(expected))
+
+
+@pytest.mark.parametrize("earlier,later,expected", [
+    ("2025-01-31", "2025-02-01", 1),
+    ("2025-03-31", "2025-06-01", 3),
+    ("2025-03-31", "2025-07-01", 4),
+    ("2025-03-31", "2024-12-31", -3),
+])
+def test_month_diff_counts_boundaries(spark, earlier, later, expected):
+    assert one(spark, month_diff("b", "a"), "a date, b date", (d(earlier), d(later))) == expected
+
+
+@pytest.mark.parametrize("raw,expected", [
+    ("\t 3. alto ", "3. ALTO"), (None, "0. NO IDENTIFICADO"), (" 1. bajo", "1. BAJO"),
+    ("2. Medio \n", "2. MEDIO"),
+])
+def test_clean_label(spark, raw, expected):
+    assert one(spark, clean_label("x"), "x string", (raw,)) == expected
+
+
+def test_period_and_month_trunc(spark):
+    row = spark.createDataFrame([(d("2025-03-31"),), (None,)], "x date").select(
+        period_label("x").alias("p"), month_trunc("x").alias("m")).collect()
+    assert (row[0]["p"], row[0]["m"]) == ("2025-03", dt.date(2025, 3, 1))
+    assert (row[1]["p"], row[1]["m"]) == (None, None)
+
+
+@pytest.mark.parametrize("income,limit,band", [
+    (4000, "3999.99", "a"), (3999, "3999.99", "b"), (None, 100, "b"), (9000, 4000, "c"),
+    (1, 6000, "d"), (1, 8000, "e"), (1, 10000, "f"), (1, 15000, "g"), (1, 20000, "h"),
+    (9000, None, "i"),
+])
+def test_limit_bands(spark, income, limit, band):
+    row = (None if income is None else Decimal(income), None if limit is None else Decimal(str(limit)))
+    label = one(spark, limit_band("limit", "income"), "income decimal(18,2), limit decimal(18,2)", row)
+    assert label.startswith(band + ".") and label in BAND_LABELS
+
+
+@pytest.mark.parametrize("rows,expected", [
+    ([(-1, 2500), (1, 2000), (5, 9000)], 2500),
+    ([(3, 3000), (5, 9000)], 9000),
+    ([(None, 7000)], 7000),
+    ([(0, None), (4, 1000)], 1000),
+])
+def test_origination_limit(spark, rows, expected):
+    df = spark.createDataFrame([(1, m, None if v is None else Decimal(v)) for m, v in rows],
+                               "account_id long, mob int, credit_limit decimal(18,2)")
+    got = df.groupBy("account_id").agg(origination_limit().alias("v")).first()["v"]
+    assert got == Decimal(expected)
+
+
+@pytest.mark.parametrize("first_purchase,expected", [
+    ("2025-06-01", 1), ("2025-07-01", 0), ("2024-12-31", 1), (None, 0),
+])
+def test_activation_flag(spark, first_purchase, expected):
+    df = spark.createDataFrame(
+        [(1, d("2025-03-31"), None if first_purchase is None else d(first_purchase))],
+        "account_id long, open_date date, first_purchase_date date")
+    assert df.groupBy("account_id").agg(activation_flag().alias("v")).first()["v"] == expected
+
+
+def test_closed_statuses_and_nulls_are_dropped(spark):
+    rows = [month(i, 2025, 1, status=s) for i, s in enumerate(["T", "P", "Z", "8", "9", None, "A"])]
+    t = tables(spark, account_month=rows)
+    kept = open_account_months(t.account_month, info_type=210, year_floor=2025).collect()
+    assert [r["status_code"] for r in kept] == ["A"]
+
+
+def test_no_python_udf_in_library():
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1] / "linelift"
+    text = "\n".join(p.read_text() for p in root.rglob("*.py"))
+    assert "udf(" not in text and "pandas_udf" not in text and ".rdd" not in text
