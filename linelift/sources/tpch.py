@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linelift.sources.schema import MONEY, SCHEMAS, Tables, conform
 
@@ -24,15 +25,43 @@ PRODUCT_CODE = 210
 OTHER_PRODUCT_CODE = 110
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*cols)
-
-
-def customer_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+# The columns of the test tables this mapping reads. Reading with a declared
+# schema skips Spark's schema-inference job (one per read) and fails fast on a
+# type change.
+RAW_SCHEMAS = {
+    "lineitem": T.StructType([
+        T.StructField("l_orderkey", T.LongType()),
+        T.StructField("l_linenumber", T.IntegerType()),
+        T.StructField("l_quantity", T.DoubleType()),
+        T.StructField("l_extendedprice", T.DoubleType()),
+        T.StructField("l_returnflag", T.StringType()),
+        T.StructField("l_shipdate", T.TimestampNTZType()),
+    ]),
+    "orders": T.StructType([
+        T.StructField("o_orderkey", T.LongType()),
+        T.StructField("o_custkey", T.LongType()),
+        T.StructField("o_orderstatus", T.StringType()),
+        T.StructField("o_orderdate", T.TimestampNTZType()),
+        T.StructField("o_orderpriority", T.StringType()),
+    ]),
+    "customer": T.StructType([
+        T.StructField("c_custkey", T.LongType()),
+        T.StructField("c_nationkey", T.IntegerType()),
+        T.StructField("c_acctbal", T.DoubleType()),
+        T.StructField("c_mktsegment", T.StringType()),
+    ]),
+}
+
+
+def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The three test tables the mapping needs, each read once."""
+    return {name: spark.read.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+            for name, schema in RAW_SCHEMAS.items()}
+
+
+def customer_month(raw: dict[str, DataFrame]) -> DataFrame:
     """One row per (customer, ship year, ship month) with every monthly measure."""
-    lineitem = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity",
-                     "l_extendedprice", "l_returnflag", "l_shipdate")
-    orders = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    lineitem, orders = raw["lineitem"], raw["orders"]
     ship = F.col("l_shipdate").cast("date")
     qty = F.col("l_quantity").cast("int")
     returned = F.col("l_returnflag") == "R"
@@ -92,8 +121,8 @@ def profit_month(cm: DataFrame) -> DataFrame:
         SCHEMAS["profit_month"], "profit_month")
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders", "o_custkey", "o_orderdate")
+def accounts(raw: dict[str, DataFrame]) -> DataFrame:
+    orders = raw["orders"]
     return conform(
         orders.where(F.col("o_custkey") % 97 != 5)
         .groupBy(F.col("o_custkey").alias("account_id"))
@@ -101,11 +130,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         SCHEMAS["accounts"], "accounts")
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-                   "o_orderdate", "o_orderpriority")
-    customer = _read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal",
-                     "c_mktsegment")
+def applications(raw: dict[str, DataFrame]) -> DataFrame:
+    orders, customer = raw["orders"], raw["customer"]
     prio = F.substring("o_orderpriority", 1, 1)
     key = F.col("o_orderkey")
     bureau = (F.when(prio.isin("1", "2"), "HIT")
@@ -134,10 +160,11 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazily derive the four portfolio tables from the test tables in ``sf_dir``."""
-    cm = customer_month(spark, sf_dir)
+    raw = read_raw(spark, sf_dir)
+    cm = customer_month(raw)
     return Tables(
-        applications=applications(spark, sf_dir),
-        accounts=accounts(spark, sf_dir),
+        applications=applications(raw),
+        accounts=accounts(raw),
         account_month=account_month(cm),
         profit_month=profit_month(cm),
     )
