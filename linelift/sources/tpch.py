@@ -66,8 +66,13 @@ def customer_month(raw: dict[str, DataFrame]) -> DataFrame:
     qty = F.col("l_quantity").cast("int")
     returned = F.col("l_returnflag") == "R"
     price = F.col("l_extendedprice").cast(MONEY)
+    # Orders grow with lineitem and are never broadcast at scale, so the join
+    # is always shuffled on the order key. A shuffled hash join builds on the
+    # orders side of each partition (a slice of one table) and streams
+    # lineitem without sorting it; AQE still splits skewed partitions.
     return (
-        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, "inner")
+        lineitem.join(orders.hint("shuffle_hash"), lineitem.l_orderkey == orders.o_orderkey,
+                      "inner")
         .groupBy(F.col("o_custkey").alias("account_id"),
                  F.year(ship).cast("int").alias("yr"),
                  F.month(ship).cast("int").alias("mo"))
