@@ -77,10 +77,15 @@ def restrict(fact: DataFrame, universe: DataFrame | None, key: str = "account_id
     on ``key`` with that universe, so the result is unchanged while the
     aggregate reads only the accounts that can survive the join. AQE turns it
     into a broadcast semi join when the universe is measured small.
+
+    The key set is de-duplicated first: an account with a huge number of
+    applications collapses to one row in the partial aggregate of each map
+    task instead of landing on one semi-join task, and the de-duplication's
+    exchange is the hash partitioning the semi join needs anyway.
     """
     if universe is None:
         return fact
-    return fact.join(universe.select(key), key, "left_semi")
+    return fact.join(universe.select(key).distinct(), key, "left_semi")
 
 
 def account_profile(mob_fact: DataFrame, keys: Sequence[str] = ("account_id", "open_date"),

@@ -60,16 +60,21 @@ def roi_universe(t: Tables, p: Params) -> DataFrame:
 
 
 def roi_accounts(t: Tables, p: Params) -> DataFrame:
-    """Per account x status x label: origination limit, placement and profit at 6/9/12."""
+    """Per account x status x label: origination limit, placement and profit at 6/9/12.
+
+    The source joins the monthly rows to the (account, status, label) universe
+    and then aggregates per account x status x label. Every aggregate reads
+    only the account's own monthly rows, so it is the same for each of its
+    labels: aggregate per account (restricted to the universe), filter on the
+    limit, then attach the labels. Same groups, without multiplying the fact.
+    """
     base = roi_universe(t, p)
     labels = base.select("account_id", "bureau_hit", "risk_label").distinct()
-    fact = (month_fact(t, p, "inner")
-            .join(labels, "account_id", "inner")
-            .withColumn("placed", net_placement()))
-    placed = (fact.groupBy("account_id", "open_date", "bureau_hit", "risk_label")
-              .agg(origination_limit().alias("credit_limit"),
-                   *milestone_values("placed", prefix="placed"))
-              .where(F.col("credit_limit") < p.target_limit))
+    fact = month_fact(t, p, "inner").withColumn("placed", net_placement())
+    placed = (account_profile(fact, ("account_id", "open_date"),
+                              *milestone_values("placed", prefix="placed"), universe=base)
+              .where(F.col("credit_limit") < p.target_limit)
+              .join(labels, "account_id", "inner"))
     profit = profit_milestones(t.profit_month, t.accounts, base, year_floor=p.year_floor)
     return (placed.join(profit, "account_id", "left")
             .withColumn("open_period", period_label("open_date")))

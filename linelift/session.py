@@ -32,7 +32,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.driver.memory", "8g")
                # No Python call-site capture per DataFrame call (error-message
                # context only); it costs several JVM round trips per function.
-               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+               # Keep the generated classes of every report: the default (100)
+               # is below what nine interleaved reports use, and recompiling
+               # dominates small runs.
+               .config("spark.sql.codegen.cache.maxEntries", "2000"))
     if event_log_dir:
         builder = (builder.config("spark.eventLog.enabled", "true")
                    .config("spark.eventLog.dir", event_log_dir))
