@@ -60,6 +60,11 @@ def milestone_delinquency(milestones: Mapping[int, int] = DELINQUENCY_MILESTONES
     return out
 
 
+def delinquency_columns(milestones: Mapping[int, int] = DELINQUENCY_MILESTONES) -> list[str]:
+    """Names of the columns ``milestone_delinquency`` produces, in order."""
+    return [f"{k}_{m}m" for m in milestones for k in ("accts", "bal", "accts_dq", "bal_dq")]
+
+
 def activation_flag(first_purchase: Column | str = "first_purchase_date",
                     open_date: Column | str = "open_date",
                     months: int = ACTIVATION_MONTHS) -> Column:

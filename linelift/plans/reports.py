@@ -17,9 +17,10 @@ from linelift.functions.columns import (UNIDENTIFIED_RISK_LABEL, mean_of, month_
 from linelift.operators.facts import (ALL_BUREAU, HIT_NOHIT, distinct_universe,
                                       eligible_applications, months_on_book, net_placement,
                                       open_account_months)
-from linelift.operators.profiles import (account_profile, activation_flag,
-                                         milestone_delinquency, milestone_values,
-                                         origination_limit, profit_milestones, restrict)
+from linelift.operators.profiles import (VALUE_MILESTONES, account_profile, activation_flag,
+                                         delinquency_columns, milestone_delinquency,
+                                         milestone_values, origination_limit,
+                                         profit_milestones, restrict)
 from linelift.operators.scenario import (attach_benchmarks, delinquency_ratios,
                                          grouped_scenario_totals, peer_benchmarks,
                                          project_balances, target_limit, what_if_limit)
@@ -44,10 +45,16 @@ def window_applications(t: Tables, p: Params, **kw) -> DataFrame:
                                  date_to=p.window_to, **kw)
 
 
-def banded_universe(t: Tables, p: Params, apps: DataFrame) -> DataFrame:
-    """Applications joined to the account-grain origination limit, with their band."""
-    profile = account_profile(month_fact(t, p), ("account_id",), universe=apps)
-    return (apps.join(profile, "account_id", "inner")
+def banded_universe(t: Tables, p: Params, apps: DataFrame,
+                    profile: DataFrame | None = None) -> DataFrame:
+    """Applications joined to the account-grain origination limit, with their band.
+
+    ``profile``: a precomputed per-account profile (``plans.batch``) to read
+    instead of aggregating the monthly fact again.
+    """
+    limits = (profile.select("account_id", "credit_limit") if profile is not None
+              else account_profile(month_fact(t, p), ("account_id",), universe=apps))
+    return (apps.join(limits, "account_id", "inner")
             .withColumn("limit_band", limit_band("credit_limit", "income",
                                                  target_limit=p.target_limit,
                                                  min_income=p.min_income)))
@@ -59,7 +66,7 @@ def roi_universe(t: Tables, p: Params) -> DataFrame:
     return distinct_universe(t.applications, org_code=p.org_code, date_from=p.roi_from)
 
 
-def roi_accounts(t: Tables, p: Params) -> DataFrame:
+def roi_accounts(t: Tables, p: Params, profile: DataFrame | None = None) -> DataFrame:
     """Per account x status x label: origination limit, placement and profit at 6/9/12.
 
     The source joins the monthly rows to the (account, status, label) universe
@@ -70,21 +77,26 @@ def roi_accounts(t: Tables, p: Params) -> DataFrame:
     """
     base = roi_universe(t, p)
     labels = base.select("account_id", "bureau_hit", "risk_label").distinct()
-    fact = month_fact(t, p, "inner").withColumn("placed", net_placement())
-    placed = (account_profile(fact, ("account_id", "open_date"),
-                              *milestone_values("placed", prefix="placed"), universe=base)
-              .where(F.col("credit_limit") < p.target_limit)
+    if profile is not None:  # months on book with an inner join = rows with an open date
+        per_account = (profile.where(F.col("open_date").isNotNull())
+                       .select("account_id", "open_date", "credit_limit",
+                               *[f"placed_{m}m" for m in VALUE_MILESTONES]))
+    else:
+        fact = month_fact(t, p, "inner").withColumn("placed", net_placement())
+        per_account = account_profile(fact, ("account_id", "open_date"),
+                                      *milestone_values("placed", prefix="placed"), universe=base)
+    placed = (per_account.where(F.col("credit_limit") < p.target_limit)
               .join(labels, "account_id", "inner"))
     profit = profit_milestones(t.profit_month, t.accounts, base, year_floor=p.year_floor)
     return (placed.join(profit, "account_id", "left")
             .withColumn("open_period", period_label("open_date")))
 
 
-def lroi_by_cohort(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def lroi_by_cohort(t: Tables, p: Params = DEFAULT, *, profile: DataFrame | None = None) -> DataFrame:
     """Return on lending (cumulative profit / net placement) at 6, 9 and 12
     months on book, per opening month x bureau status x risk label, for
     accounts whose origination limit is below the target limit."""
-    rows = roi_accounts(t, p).where(F.col("bureau_hit").isin(*ALL_BUREAU)
+    rows = roi_accounts(t, p, profile).where(F.col("bureau_hit").isin(*ALL_BUREAU)
                                     & (F.col("risk_label") != UNIDENTIFIED_RISK_LABEL))
     return (roi_by_horizon(rows, ["open_period", "bureau_hit", "risk_label"])
             .orderBy("open_period", "bureau_hit", "risk_label"))
@@ -92,10 +104,11 @@ def lroi_by_cohort(t: Tables, p: Params = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- R2
 
-def limit_band_distribution(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def limit_band_distribution(t: Tables, p: Params = DEFAULT, *,
+                            profile: DataFrame | None = None) -> DataFrame:
     """R2: accounts per limit band, HIT / NOHIT / all, and each column's shares."""
     apps = window_applications(t, p, bureau_in=HIT_NOHIT)
-    counts = count_by_status(banded_universe(t, p, apps), "limit_band")
+    counts = count_by_status(banded_universe(t, p, apps, profile), "limit_band")
     return (share_of_total(counts, ["accounts_hit", "accounts_nohit", "accounts_total"],
                            ["share_hit", "share_nohit", "share_total"])
             .orderBy("limit_band"))
@@ -103,13 +116,14 @@ def limit_band_distribution(t: Tables, p: Params = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- R3
 
-def avg_limit_trend(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def avg_limit_trend(t: Tables, p: Params = DEFAULT, *, profile: DataFrame | None = None) -> DataFrame:
     """Mean origination limit per opening month and bureau status."""
     apps = (eligible_applications(t.applications, org_code=p.org_code, date_from=p.trend_after,
                                   from_strict=True, bureau_in=HIT_NOHIT)
             .select("account_id", "bureau_hit"))
-    profile = account_profile(month_fact(t, p), universe=apps)
-    return (profile.join(apps, "account_id", "inner")
+    limits = (profile.select("account_id", "open_date", "credit_limit") if profile is not None
+              else account_profile(month_fact(t, p), universe=apps))
+    return (limits.join(apps, "account_id", "inner")
             .groupBy(period_label("open_date").alias("open_period"), "bureau_hit")
             .agg(mean_of("credit_limit").alias("avg_limit"))
             .orderBy("open_period", "bureau_hit"))
@@ -117,7 +131,8 @@ def avg_limit_trend(t: Tables, p: Params = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- R4 / R8
 
-def scenario_lines(t: Tables, p: Params, *, target: bool = False) -> DataFrame:
+def scenario_lines(t: Tables, p: Params, *, target: bool = False,
+                   profile: DataFrame | None = None) -> DataFrame:
     """Eligible applications with the account's delinquency milestones, its
     origination limit and the scenario's new limit (one row per application).
 
@@ -130,10 +145,15 @@ def scenario_lines(t: Tables, p: Params, *, target: bool = False) -> DataFrame:
                                   date_to=date_to)
             .select("account_id", "income", "bureau_hit", "score_segment",
                     F.upper("risk_label").alias("risk_label")))
-    fact = month_fact(t, p, year_floor=p.r8_year_floor if target else p.year_floor)
-    profile = account_profile(fact, ("account_id", "open_date"), *milestone_delinquency(),
-                              universe=apps)
-    lines = apps.join(profile, "account_id", "inner")
+    floor = p.r8_year_floor if target else p.year_floor
+    if profile is not None and floor == p.year_floor:
+        per_account = profile.select("account_id", "open_date", "credit_limit",
+                                     *delinquency_columns())
+    else:
+        per_account = account_profile(month_fact(t, p, year_floor=floor),
+                                      ("account_id", "open_date"), *milestone_delinquency(),
+                                      universe=apps)
+    lines = apps.join(per_account, "account_id", "inner")
     if target:
         return target_limit(lines, floor=p.target_limit)
     return what_if_limit(lines, floor=p.target_limit, min_income=p.min_income)
@@ -155,44 +175,51 @@ def scenario_projection(t: Tables, p: Params, *, target: bool = False,
     return project_balances(attach_benchmarks(lines, peer_benchmarks(lines)))
 
 
-def _delinquency_what_if(t: Tables, p: Params, target: bool) -> DataFrame:
+def _delinquency_what_if(t: Tables, p: Params, target: bool,
+                         profile: DataFrame | None = None) -> DataFrame:
     """Peer benchmarks, projections and totals as two aggregations over the
     scenario lines (see ``grouped_scenario_totals``); ``scenario_projection``
     is the row-level form of the same computation."""
     statuses = HIT_NOHIT if target else ALL_BUREAU
-    lines = scenario_lines(t, p, target=target).where(F.col("bureau_hit").isin(*statuses))
+    lines = scenario_lines(t, p, target=target, profile=profile).where(F.col("bureau_hit").isin(*statuses))
     return (delinquency_ratios(grouped_scenario_totals(lines))
             .orderBy("bureau_hit", "risk_label"))
 
 
-def delinquency_what_if_total(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def delinquency_what_if_total(t: Tables, p: Params = DEFAULT, *,
+                              profile: DataFrame | None = None) -> DataFrame:
     """Balance-weighted delinquency at MOB 2, 3 and 9, actual vs the what-if
     where accounts with income >= 4000 and limit < 4000 get a 4000 limit."""
-    return _delinquency_what_if(t, p, target=False)
+    return _delinquency_what_if(t, p, target=False, profile=profile)
 
 
-def delinquency_what_if_target(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def delinquency_what_if_target(t: Tables, p: Params = DEFAULT, *,
+                               profile: DataFrame | None = None) -> DataFrame:
     """As R4 for accounts with limit < 4000 only, all raised to 4000; peer
     benchmarks come from that restricted population."""
-    return _delinquency_what_if(t, p, target=True)
+    return _delinquency_what_if(t, p, target=True, profile=profile)
 
 
 # ---------------------------------------------------------------- R5
 
-def limit_what_if_summary(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def limit_what_if_summary(t: Tables, p: Params = DEFAULT, *,
+                          profile: DataFrame | None = None) -> DataFrame:
     """Current vs new limit (count, mean, min, max) per bureau status."""
     apps = window_applications(t, p, bureau_in=HIT_NOHIT).select("account_id", "bureau_hit",
                                                                   "income")
-    profile = account_profile(month_fact(t, p), universe=apps)
-    lines = what_if_limit(apps.join(profile, "account_id", "inner"), floor=p.target_limit,
+    limits = (profile.select("account_id", "open_date", "credit_limit") if profile is not None
+              else account_profile(month_fact(t, p), universe=apps))
+    lines = what_if_limit(apps.join(limits, "account_id", "inner"), floor=p.target_limit,
                           min_income=p.min_income)
     return limit_summary(lines, "bureau_hit").orderBy("bureau_hit")
 
 
 # ---------------------------------------------------------------- R6
 
-def application_volume_pivot(t: Tables, p: Params = DEFAULT) -> DataFrame:
-    """Monthly applications of one bureau status, total and per risk level 0-5."""
+def application_volume_pivot(t: Tables, p: Params = DEFAULT, *,
+                             profile: DataFrame | None = None) -> DataFrame:
+    """Monthly applications of one bureau status, total and per risk level 0-5.
+    (Reads applications only; ``profile`` is accepted for a uniform signature.)"""
     apps = eligible_applications(t.applications, org_code=p.org_code, date_from=p.volume_from,
                                  date_to=p.volume_to, bureau_in=[p.extract_status],
                                  risk_level_known=True)
@@ -202,10 +229,10 @@ def application_volume_pivot(t: Tables, p: Params = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- R7
 
-def risk_mix_by_band(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def risk_mix_by_band(t: Tables, p: Params = DEFAULT, *, profile: DataFrame | None = None) -> DataFrame:
     """Risk-level mix inside each limit band for one bureau status."""
     apps = window_applications(t, p, bureau_in=HIT_NOHIT)
-    counts = (banded_universe(t, p, apps)
+    counts = (banded_universe(t, p, apps, profile)
               .where(F.col("risk_level").isNotNull())
               .groupBy("bureau_hit", "limit_band", "risk_level")
               .agg(F.count(F.lit(1)).alias("accounts")))
@@ -232,12 +259,14 @@ def activation_detail(t: Tables, p: Params, universe: DataFrame | None = None) -
                  activation_flag(months=p.activation_months).alias("activated_3m")))
 
 
-def activation_by_band(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def activation_by_band(t: Tables, p: Params = DEFAULT, *,
+                       profile: DataFrame | None = None) -> DataFrame:
     """Share of accounts with a first purchase within 3 months of opening,
     per limit band, for HIT, NOHIT and both."""
     apps = window_applications(t, p, bureau_in=HIT_NOHIT).select("account_id", "bureau_hit",
                                                                   "income")
-    detail = activation_detail(t, p, universe=apps)
+    detail = (profile.select("account_id", "open_date", "credit_limit", "activated_3m")
+              if profile is not None else activation_detail(t, p, universe=apps))
     u = (apps.join(detail, "account_id", "inner")
          .withColumn("limit_band", limit_band("credit_limit", "income",
                                               target_limit=p.target_limit,
