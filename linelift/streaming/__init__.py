@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The source reports are batch snapshots over monthly tables: no watermark,
+event-time window or per-key state appears in them, so there is no streaming
+operator to rebuild. A scheduled batch (``plans.batch.run_reports``) is the
+execution model.
+"""
