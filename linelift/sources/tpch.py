@@ -14,6 +14,8 @@ data model; they are not row caps - every report reads whole tables.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,13 +165,40 @@ def applications(raw: dict[str, DataFrame]) -> DataFrame:
         ), SCHEMAS["applications"], "applications")
 
 
+class DerivedTables:
+    """The four portfolio tables derived from the test tables of ``sf_dir``.
+
+    Same attributes as :class:`Tables`; each plan is built on first access,
+    so a report that reads only applications never builds the monthly facts.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._raw = read_raw(spark, sf_dir)
+
+    @cached_property
+    def _customer_month(self) -> DataFrame:
+        return customer_month(self._raw)
+
+    @cached_property
+    def applications(self) -> DataFrame:
+        return applications(self._raw)
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return accounts(self._raw)
+
+    @cached_property
+    def account_month(self) -> DataFrame:
+        return account_month(self._customer_month)
+
+    @cached_property
+    def profit_month(self) -> DataFrame:
+        return profit_month(self._customer_month)
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in SCHEMAS}
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Lazily derive the four portfolio tables from the test tables in ``sf_dir``."""
-    raw = read_raw(spark, sf_dir)
-    cm = customer_month(raw)
-    return Tables(
-        applications=applications(raw),
-        accounts=accounts(raw),
-        account_month=account_month(cm),
-        profit_month=profit_month(cm),
-    )
+    """Derive the four portfolio tables from the test tables in ``sf_dir`` (lazily)."""
+    return DerivedTables(spark, sf_dir)  # type: ignore[return-value]
