@@ -29,6 +29,7 @@ from linelift.sources.schema import SCHEMAS, Tables
 from oracle_compare import compare
 
 SEEDS = [int(s) for s in os.environ.get("LINELIFT_RANDOM_SEEDS", "7,2024").split(",")]
+CASES = [(seed, False) for seed in SEEDS] + [(SEEDS[0] + 1, True)]
 
 _ARROW = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DateType: pa.date32(),
           T.StringType: pa.string()}
@@ -49,7 +50,7 @@ def _month_add(y, m, k):
     return i // 12, i % 12 + 1
 
 
-def generate(seed: int, n_accounts: int = 40):
+def generate(seed: int, n_accounts: int = 40, hot: bool = False):
     rng = random.Random(seed)
     base = dt.date(1994, 10, 1)
     accounts, months, profit, apps = [], [], [], []
@@ -90,13 +91,16 @@ def generate(seed: int, n_accounts: int = 40):
                          rng.choice([None, 0, 1, 2, 3, 4, 5, 6]),
                          rng.choice([None, " 1. bajo", "2. Medio ", "3. alto", "\t3. ALTO "]),
                          rng.choice(["A", "B", None])))
+    if hot:  # one account holds a third of all applications (hot key)
+        hot_rows = [(1,) + row[1:] for row in rng.choices(apps, k=len(apps) // 2)]
+        apps += hot_rows
     return {"applications": apps, "accounts": accounts, "account_month": months,
             "profit_month": profit}
 
 
-@pytest.fixture(scope="module", params=SEEDS)
+@pytest.fixture(scope="module", params=CASES, ids=lambda c: f"seed{c[0]}{'-hot' if c[1] else ''}")
 def random_case(request, spark):
-    data = generate(request.param)
+    data = generate(*request.param)
     con = duckdb.connect()
     dfs = {}
     for name, rows in data.items():
