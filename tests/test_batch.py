@@ -1,6 +1,5 @@
 """The batch (one shared profile) gives the same reports as running each alone."""
 
-import pytest
 
 from linelift.plans import reports as R
 from linelift.plans.batch import run_reports

@@ -4,7 +4,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from linelift.functions.bands import BAND_LABELS, limit_band
 from linelift.functions.columns import (clean_label, floor_zero, month_diff, month_trunc,

@@ -3,7 +3,6 @@
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from linelift.plans import reports as R
 from linelift.plans.params import Params
