@@ -43,23 +43,39 @@ def shared_profile(t: Tables, p: Params = DEFAULT) -> DataFrame:
     )
 
 
-def materialise_profile(t: Tables, p: Params = DEFAULT, path: str | None = None) -> DataFrame:
+def materialise_profile(t: Tables, p: Params = DEFAULT, path: str | None = None,
+                        buckets: int | None = None) -> DataFrame:
     """Write the shared profile to ``path`` (default: a new folder under the
-    shared checkpoint directory) and return it read back from there."""
+    shared checkpoint directory) and return it read back from there.
+
+    With ``buckets`` the profile is stored bucketed and sorted by account_id
+    as a session-catalog table whose files live at ``path``. A report's join
+    on account_id then reads the profile already partitioned: only the other
+    side is shuffled, each time the profile is used.
+    """
     profile = shared_profile(t, p)
     spark = profile.sparkSession
-    path = path or shared_path(spark, f"linelift-profile-{uuid.uuid4().hex}")
-    profile.write.mode("overwrite").parquet(path)
-    return spark.read.schema(profile.schema).parquet(path)
+    name = f"linelift_profile_{uuid.uuid4().hex}"
+    path = path or shared_path(spark, name)
+    if not buckets:
+        profile.write.mode("overwrite").parquet(path)
+        return spark.read.schema(profile.schema).parquet(path)
+    (profile.write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, "account_id").sortBy("account_id").saveAsTable(name))
+    return spark.table(name)
 
 
 def run_reports(t: Tables, p: Params = DEFAULT, names: list[str] | None = None,
-                profile_path: str | None = None) -> dict[str, DataFrame]:
+                profile_path: str | None = None, buckets: int | None = None) -> dict[str, DataFrame]:
     """The chosen reports (default: all nine) over one materialised profile.
 
     The profile is written eagerly (one job over the monthly fact); the
-    returned DataFrames are lazy and read it.
+    returned DataFrames are lazy and read it. ``buckets`` defaults to the
+    session's shuffle partition count.
     """
     names = list(R.REPORTS) if names is None else names
-    profile = materialise_profile(t, p, profile_path)
+    spark = t.applications.sparkSession
+    if buckets is None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    profile = materialise_profile(t, p, profile_path, buckets)
     return {name: R.REPORTS[name](t, p, profile=profile) for name in names}

@@ -34,3 +34,25 @@ def test_r8_with_other_year_floor_ignores_shared_profile(spark, tables_small):
     batch = run_reports(tables_small, p, ["delinquency_what_if_target"])
     _same(batch["delinquency_what_if_target"].collect(),
           R.delinquency_what_if_target(tables_small, p).collect())
+
+
+def test_bucketed_profile_is_not_shuffled_for_joins(spark, tables_small):
+    """Without broadcasts, the join of applications to the bucketed profile
+    shuffles the applications side only."""
+    from linelift.plans.batch import materialise_profile
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        profile = materialise_profile(tables_small, DEFAULT, buckets=8)
+        df = R.limit_what_if_summary(tables_small, DEFAULT, profile=profile)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scan = [ln for ln in plan.splitlines() if "linelift_profile_" in ln or "Bucketed: true" in ln]
+        assert any("Bucketed: true" in ln for ln in scan), plan
+        batch = run_reports(tables_small, DEFAULT, ["limit_what_if_summary"], buckets=8)
+        _same(batch["limit_what_if_summary"].collect(),
+              R.limit_what_if_summary(tables_small, DEFAULT).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
