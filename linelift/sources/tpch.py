@@ -67,7 +67,9 @@ def customer_month(raw: dict[str, DataFrame]) -> DataFrame:
     ship = F.col("l_shipdate").cast("date")
     qty = F.col("l_quantity").cast("int")
     returned = F.col("l_returnflag") == "R"
-    price = F.col("l_extendedprice").cast(MONEY)
+    # Money is summed as exact cents in a long: the same values as a decimal
+    # sum, without the BigDecimal buffers a DECIMAL(28+) sum uses.
+    cents = (F.col("l_extendedprice").cast(MONEY) * 100).cast("long")
     # Orders grow with lineitem and are never broadcast at scale, so the join
     # is always shuffled on the order key. A shuffled hash join builds on the
     # orders side of each partition (a slice of one table) and streams
@@ -88,17 +90,20 @@ def customer_month(raw: dict[str, DataFrame]) -> DataFrame:
             F.min("l_extendedprice").alias("min_price"),
             F.min(F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 40), ship))
             .alias("first_purchase_date"),
-            F.sum(price).alias("purchases"),
-            F.sum(F.when(returned, price).otherwise(F.lit(0).cast(MONEY))).alias("returns"),
+            F.sum(cents).alias("purchase_cents"),
+            F.sum(F.when(returned, cents).otherwise(0)).alias("return_cents"),
             F.sum(F.when(returned, -50).otherwise(80) * qty).alias("profit_units"),
         )
     )
 
 
-def _life_to_date(col: str) -> F.Column:
+def _life_to_date(col: str, scale: int = 0) -> F.Column:
+    """Running sum per account in (yr, mo) order, as DECIMAL(18,2); ``scale``
+    is the number of decimals ``col`` carries as an integer (2 for cents)."""
     w = (Window.partitionBy("account_id").orderBy("yr", "mo")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return F.sum(col).over(w).cast(MONEY)
+    total = F.sum(col).over(w).cast("decimal(20,0)")
+    return (total / F.lit(10 ** scale) if scale else total).cast(MONEY)
 
 
 def account_month(cm: DataFrame) -> DataFrame:
@@ -116,8 +121,8 @@ def account_month(cm: DataFrame) -> DataFrame:
         balance.alias("balance"),
         limit.alias("credit_limit"),
         "first_purchase_date",
-        _life_to_date("purchases").alias("purchases_ltd"),
-        _life_to_date("returns").alias("returns_ltd"),
+        _life_to_date("purchase_cents", 2).alias("purchases_ltd"),
+        _life_to_date("return_cents", 2).alias("returns_ltd"),
     ), SCHEMAS["account_month"], "account_month")
 
 
