@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
@@ -80,3 +81,26 @@ def conform(df: DataFrame, schema: T.StructType, name: str = "") -> DataFrame:
     if wrong:
         raise TypeError(f"{name}: column types differ from the model (actual, expected): {wrong}")
     return out
+
+
+KEYS = {
+    "accounts": ("account_id",),
+    "account_month": ("account_id", "yr", "mo"),
+    "profit_month": ("account_id", "yr", "mo"),
+}
+
+
+def check_keys(tables: Tables) -> dict[str, int]:
+    """Number of duplicated keys per keyed table (0 everywhere = the model holds).
+
+    The reports carry per-account aggregates instead of joining them back, and
+    the batch mode shares one profile; both rely on these keys. One
+    distributed aggregation per table; only the counts reach the driver.
+    """
+    out = {}
+    for name, key in KEYS.items():
+        dup = (getattr(tables, name).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+               .where(F.col("n") > 1).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)))
+               .first()[0])
+        out[name] = int(dup)
+    return out
