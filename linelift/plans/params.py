@@ -3,6 +3,7 @@ set for the test tables (FIXTURES.md section 2)."""
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, replace
 
 from linelift.functions.bands import TARGET_LIMIT, TARGET_MIN_INCOME
@@ -31,6 +32,20 @@ class Params:
     extract_status: str = "NOHIT"          # the status R6 and R7 print
     activation_months: int = 3
 
+    def __post_init__(self) -> None:
+        dates = {f: getattr(self, f) for f in ("window_from", "window_to", "roi_from", "trend_after",
+                                                "volume_from", "volume_to", "target_from", "target_to")}
+        parsed = {}
+        for name, value in dates.items():
+            try:
+                parsed[name] = dt.date.fromisoformat(value)
+            except (TypeError, ValueError) as e:
+                raise ValueError(f"Params.{name} must be an ISO date, got {value!r}") from e
+        for lo, hi in (("window_from", "window_to"), ("volume_from", "volume_to"),
+                       ("target_from", "target_to")):
+            if parsed[lo] > parsed[hi]:
+                raise ValueError(f"Params.{lo} ({parsed[lo]}) is after {hi} ({parsed[hi]})")
+
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 

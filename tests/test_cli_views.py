@@ -17,6 +17,14 @@ def test_params_override():
     assert (p.window_from, p.year_floor, p.closed_statuses) == ("1995-04-01", 1996, ("T", "P"))
 
 
+def test_params_are_validated():
+    import pytest
+    with pytest.raises(ValueError):
+        DEFAULT.with_(window_from="1995-13-01")
+    with pytest.raises(ValueError):
+        DEFAULT.with_(window_from="1995-09-01", window_to="1995-08-31")
+
+
 def test_cli_writes_reports(spark):
     base = shared_path(spark, f"cli-{uuid.uuid4().hex}")
     written = main(["--raw", SF_SMALL, "--store", f"{base}/tables", "--out", f"{base}/out",
