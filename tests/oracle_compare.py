@@ -46,16 +46,16 @@ def _key(row):
                  for v in row)
 
 
-def _close(a, b) -> bool:
+def _close(a, b, exact: bool = False) -> bool:
     if a is None or b is None:
         return a is None and b is None
     if isinstance(a, float) or isinstance(b, float):
         a, b = float(a), float(b)
-        return a == b or abs(a - b) <= 1e-9 * max(1.0, abs(a), abs(b))
+        return a == b or (not exact and abs(a - b) <= 1e-9 * max(1.0, abs(a), abs(b)))
     return a == b
 
 
-def compare(spark_df, con, sql: str) -> list[str]:
+def compare(spark_df, con, sql: str, exact: bool = False) -> list[str]:
     """Return a list of differences (empty when the results agree)."""
     problems = []
     rel = con.sql(sql)
@@ -79,10 +79,43 @@ def compare(spark_df, con, sql: str) -> list[str]:
     d_rows.sort(key=_key)
     bad = 0
     for a, b in zip(s_rows, d_rows):
-        if not all(_close(x, y) for x, y in zip(a, b)):
+        if not all(_close(x, y, exact) for x, y in zip(a, b)):
             bad += 1
             if bad <= 3:
                 problems.append(f"row differs:\n  spark={a}\n  duck ={b}\n  cols={order}")
     if bad:
         problems.append(f"{bad} rows differ")
     return problems
+
+
+def main(argv=None) -> int:
+    """python tests/oracle_compare.py [SF_DIR] [--exact] [query ...]
+
+    Every registered query (or the ones named) against its oracle; ``--exact``
+    compares doubles bit for bit, as a value hash would."""
+    import os
+    import sys
+
+    args = list(sys.argv[1:] if argv is None else argv)
+    exact = "--exact" in args
+    args = [a for a in args if a != "--exact"]
+    sf_dir = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import __spark_entry__ as entry
+    from linelift.session import local_session
+
+    spark = local_session()
+    con = duck_connect(sf_dir)
+    queries, oracle = entry.queries(), entry.oracle_sql()
+    names = args or list(queries)
+    bad = 0
+    for name in names:
+        problems = compare(queries[name](spark, sf_dir), con, oracle[name], exact)
+        bad += bool(problems)
+        print(("BAD " if problems else "OK  ") + name, *problems[:3], sep="\n    ")
+    print(f"{len(names) - bad}/{len(names)} match at {sf_dir}{' (exact)' if exact else ''}")
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
