@@ -250,8 +250,15 @@ def activation_detail(t: Tables, p: Params, universe: DataFrame | None = None) -
 
     The source first takes, per account-month (and limit), the latest first
     purchase date, then tests each month's date against the opening date.
+
+    Both aggregations group by account_id first, so the fact is hash
+    partitioned by account_id once and both run without another exchange
+    (otherwise each aggregation shuffles the fact on its own keys). An
+    account has at most one row per month, so no partition gets a hot key,
+    and the month-level groups are single rows, so no map-side reduction is
+    lost.
     """
-    fact = restrict(month_fact(t, p), universe)
+    fact = restrict(month_fact(t, p).repartition("account_id"), universe)
     monthly = (fact.groupBy("account_id", "credit_limit", "open_date", "yr", "mo", "mob")
                .agg(F.max("first_purchase_date").alias("first_purchase_date")))
     return (monthly.groupBy("account_id", "open_date")
