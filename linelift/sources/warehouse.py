@@ -9,7 +9,9 @@ places them under the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
 
 from linelift.sources.schema import SCHEMAS, Tables, conform
 
@@ -44,8 +46,40 @@ def write_tables(tables: Tables, path: str, mode: str = "overwrite") -> None:
         writer.parquet(f"{path.rstrip('/')}/{name}")
 
 
+class StoredTables:
+    """The four tables stored under ``path``; same attributes as :class:`Tables`.
+
+    Each table is opened (file listing, schema check) on first access, so a
+    report touches only the tables it reads.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, path.rstrip("/")
+
+    def _open(self, name: str) -> DataFrame:
+        schema = SCHEMAS[name]
+        return conform(self._spark.read.schema(schema).parquet(f"{self._path}/{name}"), schema, name)
+
+    @cached_property
+    def applications(self) -> DataFrame:
+        return self._open("applications")
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return self._open("accounts")
+
+    @cached_property
+    def account_month(self) -> DataFrame:
+        return self._open("account_month")
+
+    @cached_property
+    def profit_month(self) -> DataFrame:
+        return self._open("profit_month")
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in SCHEMAS}
+
+
 def read_tables(spark: SparkSession, path: str) -> Tables:
-    """Read the four tables back with their model schemas (column order restored)."""
-    dfs = {name: conform(spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}"), schema, name)
-           for name, schema in SCHEMAS.items()}
-    return Tables(**dfs)
+    """The four tables stored under ``path``, with their model schemas (lazily opened)."""
+    return StoredTables(spark, path)  # type: ignore[return-value]
