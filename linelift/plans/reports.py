@@ -1,4 +1,5 @@
-"""The nine reports, each a function ``(Tables, Params) -> DataFrame``.
+"""The nine reports, each a function ``(Tables, Params) -> DataFrame``; the
+optional ``profile`` keyword lets ``plans.batch`` share one per-account profile.
 
 Plans are declared with the DataFrame API; Catalyst pushes the filters into
 the Parquet scans and AQE picks join strategies from measured sizes. The only
@@ -92,12 +93,13 @@ def roi_accounts(t: Tables, p: Params, profile: DataFrame | None = None) -> Data
             .withColumn("open_period", period_label("open_date")))
 
 
-def lroi_by_cohort(t: Tables, p: Params = DEFAULT, *, profile: DataFrame | None = None) -> DataFrame:
+def lroi_by_cohort(t: Tables, p: Params = DEFAULT, *,
+                   profile: DataFrame | None = None) -> DataFrame:
     """Return on lending (cumulative profit / net placement) at 6, 9 and 12
     months on book, per opening month x bureau status x risk label, for
     accounts whose origination limit is below the target limit."""
-    rows = roi_accounts(t, p, profile).where(F.col("bureau_hit").isin(*ALL_BUREAU)
-                                    & (F.col("risk_label") != UNIDENTIFIED_RISK_LABEL))
+    rows = roi_accounts(t, p, profile).where(
+        F.col("bureau_hit").isin(*ALL_BUREAU) & (F.col("risk_label") != UNIDENTIFIED_RISK_LABEL))
     return (roi_by_horizon(rows, ["open_period", "bureau_hit", "risk_label"])
             .orderBy("open_period", "bureau_hit", "risk_label"))
 
@@ -116,7 +118,8 @@ def limit_band_distribution(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R3
 
-def avg_limit_trend(t: Tables, p: Params = DEFAULT, *, profile: DataFrame | None = None) -> DataFrame:
+def avg_limit_trend(t: Tables, p: Params = DEFAULT, *,
+                    profile: DataFrame | None = None) -> DataFrame:
     """Mean origination limit per opening month and bureau status."""
     apps = (eligible_applications(t.applications, org_code=p.org_code, date_from=p.trend_after,
                                   from_strict=True, bureau_in=HIT_NOHIT)
@@ -229,7 +232,8 @@ def application_volume_pivot(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R7
 
-def risk_mix_by_band(t: Tables, p: Params = DEFAULT, *, profile: DataFrame | None = None) -> DataFrame:
+def risk_mix_by_band(t: Tables, p: Params = DEFAULT, *,
+                     profile: DataFrame | None = None) -> DataFrame:
     """Risk-level mix inside each limit band for one bureau status."""
     apps = window_applications(t, p, bureau_in=HIT_NOHIT)
     counts = (banded_universe(t, p, apps, profile)
