@@ -60,7 +60,11 @@ def materialise_profile(t: Tables, p: Params = DEFAULT, path: str | None = None,
     if not buckets:
         profile.write.mode("overwrite").parquet(path)
         return spark.read.schema(profile.schema).parquet(path)
-    (profile.write.mode("overwrite").format("parquet").option("path", path)
+    # Hash-partition into exactly the buckets first (the same hash bucketing
+    # uses): each task then writes one bucket file, not one file per bucket
+    # it happens to hold (tasks x buckets small files at scale).
+    (profile.repartition(buckets, "account_id")
+     .write.mode("overwrite").format("parquet").option("path", path)
      .bucketBy(buckets, "account_id").sortBy("account_id").saveAsTable(name))
     return spark.table(name)
 

@@ -56,3 +56,14 @@ def test_bucketed_profile_is_not_shuffled_for_joins(spark, tables_small):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_bucketed_profile_writes_one_file_per_bucket(spark, tables_small):
+    import glob
+    import uuid
+    from linelift.plans.batch import materialise_profile
+    from linelift.sources.warehouse import shared_path
+    path = shared_path(spark, f"profile-{uuid.uuid4().hex}")
+    materialise_profile(tables_small, DEFAULT, path=path, buckets=4)
+    files = glob.glob(f"{path}/*.parquet")
+    assert 0 < len(files) <= 4
