@@ -27,11 +27,11 @@ from linelift.operators.profiles import (activation_flag, milestone_delinquency,
                                          milestone_values, origination_limit)
 from linelift.plans import reports as R
 from linelift.plans.params import DEFAULT, Params
-from linelift.sources.schema import Tables
+from linelift.sources.schema import TableSource
 from linelift.sources.warehouse import shared_path
 
 
-def shared_profile(t: Tables, p: Params = DEFAULT) -> DataFrame:
+def shared_profile(t: TableSource, p: Params = DEFAULT) -> DataFrame:
     """One row per (account_id, open_date): origination limit, delinquency
     milestones, placement milestones and the activation flag."""
     fact = R.month_fact(t, p).withColumn("placed", net_placement())
@@ -43,7 +43,7 @@ def shared_profile(t: Tables, p: Params = DEFAULT) -> DataFrame:
     )
 
 
-def materialise_profile(t: Tables, p: Params = DEFAULT, path: str | None = None,
+def materialise_profile(t: TableSource, p: Params = DEFAULT, path: str | None = None,
                         buckets: int | None = None) -> DataFrame:
     """Write the shared profile to ``path`` (default: a new folder under the
     shared checkpoint directory) and return it read back from there.
@@ -69,7 +69,7 @@ def materialise_profile(t: Tables, p: Params = DEFAULT, path: str | None = None,
     return spark.table(name)
 
 
-def run_reports(t: Tables, p: Params = DEFAULT, names: list[str] | None = None,
+def run_reports(t: TableSource, p: Params = DEFAULT, names: list[str] | None = None,
                 profile_path: str | None = None, buckets: int | None = None) -> dict[str, DataFrame]:
     """The chosen reports (default: all nine) over one materialised profile.
 

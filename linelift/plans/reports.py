@@ -1,4 +1,4 @@
-"""The nine reports, each a function ``(Tables, Params) -> DataFrame``; the
+"""The nine reports, each a function ``(TableSource, Params) -> DataFrame``; the
 optional ``profile`` keyword lets ``plans.batch`` share one per-account profile.
 
 Plans are declared with the DataFrame API; Catalyst pushes the filters into
@@ -28,12 +28,12 @@ from linelift.operators.scenario import (attach_benchmarks, delinquency_ratios,
 from linelift.operators.summaries import (count_by_status, limit_summary, pivot_risk_levels,
                                           roi_by_horizon, share_of_partition, share_of_total)
 from linelift.plans.params import DEFAULT, Params
-from linelift.sources.schema import Tables
+from linelift.sources.schema import TableSource
 
 
 # ---------------------------------------------------------------- shared steps
 
-def month_fact(t: Tables, p: Params, how: str = "left", year_floor: int | None = None) -> DataFrame:
+def month_fact(t: TableSource, p: Params, how: str = "left", year_floor: int | None = None) -> DataFrame:
     """Open monthly rows of the product with ``open_date`` and ``mob`` (D7 + D1)."""
     months = open_account_months(t.account_month, info_type=p.info_type,
                                  year_floor=p.year_floor if year_floor is None else year_floor,
@@ -41,12 +41,12 @@ def month_fact(t: Tables, p: Params, how: str = "left", year_floor: int | None =
     return months_on_book(months, t.accounts, how)
 
 
-def window_applications(t: Tables, p: Params, **kw) -> DataFrame:
+def window_applications(t: TableSource, p: Params, **kw) -> DataFrame:
     return eligible_applications(t.applications, org_code=p.org_code, date_from=p.window_from,
                                  date_to=p.window_to, **kw)
 
 
-def banded_universe(t: Tables, p: Params, apps: DataFrame,
+def banded_universe(t: TableSource, p: Params, apps: DataFrame,
                     profile: DataFrame | None = None) -> DataFrame:
     """Applications joined to the account-grain origination limit, with their band.
 
@@ -63,11 +63,11 @@ def banded_universe(t: Tables, p: Params, apps: DataFrame,
 
 # ---------------------------------------------------------------- R1
 
-def roi_universe(t: Tables, p: Params) -> DataFrame:
+def roi_universe(t: TableSource, p: Params) -> DataFrame:
     return distinct_universe(t.applications, org_code=p.org_code, date_from=p.roi_from)
 
 
-def roi_accounts(t: Tables, p: Params, profile: DataFrame | None = None) -> DataFrame:
+def roi_accounts(t: TableSource, p: Params, profile: DataFrame | None = None) -> DataFrame:
     """Per account x status x label: origination limit, placement and profit at 6/9/12.
 
     The source joins the monthly rows to the (account, status, label) universe
@@ -93,7 +93,7 @@ def roi_accounts(t: Tables, p: Params, profile: DataFrame | None = None) -> Data
             .withColumn("open_period", period_label("open_date")))
 
 
-def lroi_by_cohort(t: Tables, p: Params = DEFAULT, *,
+def lroi_by_cohort(t: TableSource, p: Params = DEFAULT, *,
                    profile: DataFrame | None = None) -> DataFrame:
     """Return on lending (cumulative profit / net placement) at 6, 9 and 12
     months on book, per opening month x bureau status x risk label, for
@@ -106,7 +106,7 @@ def lroi_by_cohort(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R2
 
-def limit_band_distribution(t: Tables, p: Params = DEFAULT, *,
+def limit_band_distribution(t: TableSource, p: Params = DEFAULT, *,
                             profile: DataFrame | None = None) -> DataFrame:
     """R2: accounts per limit band, HIT / NOHIT / all, and each column's shares."""
     apps = window_applications(t, p, bureau_in=HIT_NOHIT)
@@ -118,7 +118,7 @@ def limit_band_distribution(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R3
 
-def avg_limit_trend(t: Tables, p: Params = DEFAULT, *,
+def avg_limit_trend(t: TableSource, p: Params = DEFAULT, *,
                     profile: DataFrame | None = None) -> DataFrame:
     """Mean origination limit per opening month and bureau status."""
     apps = (eligible_applications(t.applications, org_code=p.org_code, date_from=p.trend_after,
@@ -134,7 +134,7 @@ def avg_limit_trend(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R4 / R8
 
-def scenario_lines(t: Tables, p: Params, *, target: bool = False,
+def scenario_lines(t: TableSource, p: Params, *, target: bool = False,
                    profile: DataFrame | None = None) -> DataFrame:
     """Eligible applications with the account's delinquency milestones, its
     origination limit and the scenario's new limit (one row per application).
@@ -162,7 +162,7 @@ def scenario_lines(t: Tables, p: Params, *, target: bool = False,
     return what_if_limit(lines, floor=p.target_limit, min_income=p.min_income)
 
 
-def scenario_projection(t: Tables, p: Params, *, target: bool = False,
+def scenario_projection(t: TableSource, p: Params, *, target: bool = False,
                         statuses: tuple[str, ...] | None = None) -> DataFrame:
     """Scenario lines with peer benchmarks attached and balances projected.
 
@@ -178,7 +178,7 @@ def scenario_projection(t: Tables, p: Params, *, target: bool = False,
     return project_balances(attach_benchmarks(lines, peer_benchmarks(lines)))
 
 
-def _delinquency_what_if(t: Tables, p: Params, target: bool,
+def _delinquency_what_if(t: TableSource, p: Params, target: bool,
                          profile: DataFrame | None = None) -> DataFrame:
     """Peer benchmarks, projections and totals as two aggregations over the
     scenario lines (see ``grouped_scenario_totals``); ``scenario_projection``
@@ -189,14 +189,14 @@ def _delinquency_what_if(t: Tables, p: Params, target: bool,
             .orderBy("bureau_hit", "risk_label"))
 
 
-def delinquency_what_if_total(t: Tables, p: Params = DEFAULT, *,
+def delinquency_what_if_total(t: TableSource, p: Params = DEFAULT, *,
                               profile: DataFrame | None = None) -> DataFrame:
     """Balance-weighted delinquency at MOB 2, 3 and 9, actual vs the what-if
     where accounts with income >= 4000 and limit < 4000 get a 4000 limit."""
     return _delinquency_what_if(t, p, target=False, profile=profile)
 
 
-def delinquency_what_if_target(t: Tables, p: Params = DEFAULT, *,
+def delinquency_what_if_target(t: TableSource, p: Params = DEFAULT, *,
                                profile: DataFrame | None = None) -> DataFrame:
     """As R4 for accounts with limit < 4000 only, all raised to 4000; peer
     benchmarks come from that restricted population."""
@@ -205,7 +205,7 @@ def delinquency_what_if_target(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R5
 
-def limit_what_if_summary(t: Tables, p: Params = DEFAULT, *,
+def limit_what_if_summary(t: TableSource, p: Params = DEFAULT, *,
                           profile: DataFrame | None = None) -> DataFrame:
     """Current vs new limit (count, mean, min, max) per bureau status."""
     apps = window_applications(t, p, bureau_in=HIT_NOHIT).select("account_id", "bureau_hit",
@@ -219,7 +219,7 @@ def limit_what_if_summary(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R6
 
-def application_volume_pivot(t: Tables, p: Params = DEFAULT, *,
+def application_volume_pivot(t: TableSource, p: Params = DEFAULT, *,
                              profile: DataFrame | None = None) -> DataFrame:
     """Monthly applications of one bureau status, total and per risk level 0-5.
     (Reads applications only; ``profile`` is accepted for a uniform signature.)"""
@@ -232,7 +232,7 @@ def application_volume_pivot(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R7
 
-def risk_mix_by_band(t: Tables, p: Params = DEFAULT, *,
+def risk_mix_by_band(t: TableSource, p: Params = DEFAULT, *,
                      profile: DataFrame | None = None) -> DataFrame:
     """Risk-level mix inside each limit band for one bureau status."""
     apps = window_applications(t, p, bureau_in=HIT_NOHIT)
@@ -249,7 +249,7 @@ def risk_mix_by_band(t: Tables, p: Params = DEFAULT, *,
 
 # ---------------------------------------------------------------- R9
 
-def activation_detail(t: Tables, p: Params, universe: DataFrame | None = None) -> DataFrame:
+def activation_detail(t: TableSource, p: Params, universe: DataFrame | None = None) -> DataFrame:
     """Per account x opening date: origination limit and the activation flag.
 
     The source first takes, per account-month (and limit), the latest first
@@ -270,7 +270,7 @@ def activation_detail(t: Tables, p: Params, universe: DataFrame | None = None) -
                  activation_flag(months=p.activation_months).alias("activated_3m")))
 
 
-def activation_by_band(t: Tables, p: Params = DEFAULT, *,
+def activation_by_band(t: TableSource, p: Params = DEFAULT, *,
                        profile: DataFrame | None = None) -> DataFrame:
     """Share of accounts with a first purchase within 3 months of opening,
     per limit band, for HIT, NOHIT and both."""

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from linelift.plans.params import DEFAULT, Params
 from linelift.plans.reports import REPORTS
-from linelift.sources.schema import SCHEMAS, Tables
+from linelift.sources.schema import SCHEMAS, TableSource
 
 
-def register_views(tables: Tables, p: Params = DEFAULT, names: list[str] | None = None,
+def register_views(tables: TableSource, p: Params = DEFAULT, names: list[str] | None = None,
                    prefix: str = "") -> list[str]:
     """Create or replace temp views for the four tables and the chosen reports;
     returns the view names."""

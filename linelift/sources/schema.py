@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,26 @@ SCHEMAS = {
 }
 
 
+class TableSource(Protocol):
+    """What the reports read: the four relations, however they are provided
+    (``Tables`` in memory, ``sources.tpch.DerivedTables``,
+    ``sources.warehouse.StoredTables``)."""
+
+    @property
+    def applications(self) -> DataFrame: ...
+
+    @property
+    def accounts(self) -> DataFrame: ...
+
+    @property
+    def account_month(self) -> DataFrame: ...
+
+    @property
+    def profit_month(self) -> DataFrame: ...
+
+    def as_dict(self) -> dict[str, DataFrame]: ...
+
+
 @dataclass(frozen=True)
 class Tables:
     """The model's inputs. ``account_month`` and ``profit_month`` are keyed by
@@ -90,7 +111,7 @@ KEYS = {
 }
 
 
-def check_keys(tables: Tables) -> dict[str, int]:
+def check_keys(tables: TableSource) -> dict[str, int]:
     """Number of duplicated keys per keyed table (0 everywhere = the model holds).
 
     The reports carry per-account aggregates instead of joining them back, and

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linelift.sources.schema import MONEY, SCHEMAS, Tables, conform
+from linelift.sources.schema import MONEY, SCHEMAS, TableSource, conform
 
 # The product code every surrogate row carries.
 PRODUCT_CODE = 210
@@ -204,6 +204,6 @@ class DerivedTables:
         return {name: getattr(self, name) for name in SCHEMAS}
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def load_tables(spark: SparkSession, sf_dir: str) -> TableSource:
     """Derive the four portfolio tables from the test tables in ``sf_dir`` (lazily)."""
-    return DerivedTables(spark, sf_dir)  # type: ignore[return-value]
+    return DerivedTables(spark, sf_dir)

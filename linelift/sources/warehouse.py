@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linelift.sources.schema import SCHEMAS, Tables, conform
+from linelift.sources.schema import SCHEMAS, TableSource, conform
 
 PARTITION_BY = {"account_month": ["yr"], "profit_month": ["yr"]}
 # Order inside each written file: row-group min/max statistics then let the
@@ -30,7 +30,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def write_tables(tables: Tables, path: str, mode: str = "overwrite") -> None:
+def write_tables(tables: TableSource, path: str, mode: str = "overwrite") -> None:
     """Write each table under ``path/<name>``; monthly facts partitioned by year.
 
     Each task sorts its own rows (no shuffle): by year first for the monthly
@@ -80,6 +80,6 @@ class StoredTables:
         return {name: getattr(self, name) for name in SCHEMAS}
 
 
-def read_tables(spark: SparkSession, path: str) -> Tables:
+def read_tables(spark: SparkSession, path: str) -> TableSource:
     """The four tables stored under ``path``, with their model schemas (lazily opened)."""
-    return StoredTables(spark, path)  # type: ignore[return-value]
+    return StoredTables(spark, path)
