@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelift.llm import chat, exact_dedup, packing, sharding, token_counts
+from linelift.llm import (chat, exact_dedup, jaccard_join, packing, sharding, token_counts)
 from linelift.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return sharding.extendible_shards(
@@ -54,7 +58,8 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_extendible_shards, op4_chat_format, op5_token_counts, op7_grace_dedup, op10_pack)}
+    op1_jaccard_join, op2_extendible_shards, op4_chat_format, op5_token_counts, op7_grace_dedup,
+    op10_pack)}
 
 SHARD_BYTES = sharding.LIMIT_BYTES
 
