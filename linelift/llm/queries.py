@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelift.llm import (chat, exact_dedup, jaccard_join, packing, sharding, token_counts)
+from linelift.llm import (chat, decontaminate, exact_dedup, jaccard_join, packing,
+                          quality, sharding, token_counts)
 from linelift.llm.common import read_table
 
 
@@ -32,6 +33,11 @@ def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("n_bytes")), limit=SHARD_BYTES)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"),
+                           read_table(spark, sf_dir, "labels"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(
@@ -52,14 +58,19 @@ def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"),
+                                      read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"),
                         tokenizer=tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jaccard_join, op2_extendible_shards, op4_chat_format, op5_token_counts, op7_grace_dedup,
-    op10_pack)}
+    op1_jaccard_join, op2_extendible_shards, op3_quality, op4_chat_format, op5_token_counts,
+    op7_grace_dedup, op9_decontaminate, op10_pack)}
 
 SHARD_BYTES = sharding.LIMIT_BYTES
 
