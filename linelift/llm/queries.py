@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelift.llm import (chat, decontaminate, exact_dedup, jaccard_join, packing,
-                          quality, sharding, token_counts)
+from linelift.llm import (chat, decontaminate, exact_dedup, html_text, jaccard_join, packing,
+                          quality, secret_scan, sharding, token_counts)
 from linelift.llm.common import read_table
 
 
@@ -52,12 +52,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      tokenizer=tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("blob")
+
+
 def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_dedup(
         read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"),
                                       read_table(spark, sf_dir, "benchmark"))
@@ -68,9 +77,15 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
                         tokenizer=tokenizer_path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_extendible_shards, op3_quality, op4_chat_format, op5_token_counts,
-    op7_grace_dedup, op9_decontaminate, op10_pack)}
+    op6_secret_scan, op7_grace_dedup, op8_html_text, op9_decontaminate, op10_pack, pipeline)}
 
 SHARD_BYTES = sharding.LIMIT_BYTES
 
@@ -123,8 +138,40 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 FROM c
 """
 
+
+
+def _spans_sql(rule: secret_scan.Rule, rank: int) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, {int(rule.base)} AS base, s AS start, s + length(whole) AS stop
+  FROM (
+    SELECT doc_id, unnest(whole) AS whole, unnest(part) AS part, unnest(list_transform(range(1, len(whole) + 1),
+             lambda k: list_sum(list_transform(gap[1:k], lambda x: length(x)))
+                  + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0))) AS s
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS whole,
+                 regexp_extract_all(t, '{pattern}', {rule.group}) AS part,
+                 string_split_regex(t, '{pattern}') AS gap
+          FROM d WHERE regexp_matches(t, '{pattern}')))
+  WHERE length(part) >= {rule.least}"""
+
+
+_SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_spans_sql(r, i) for i, r in enumerate(secret_scan.RULES))}),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat_ws(':', kind, start::BIGINT, stop::BIGINT), ',' ORDER BY start, rank) FILTER (base = 1) AS base,
+         string_agg(concat_ws(':', kind, start::BIGINT, stop::BIGINT), ',' ORDER BY start, rank) AS spans
+  FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op2_extendible_shards": _SHARD_SQL,
     "op4_chat_format": _CHAT_SQL,
+    "op6_secret_scan": _SECRETS_SQL,
     "op7_grace_dedup": _DEDUP_SQL,
 }
