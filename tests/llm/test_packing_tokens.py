@@ -1,0 +1,113 @@
+"""Packing and token counts against the tokenizers library and brute force."""
+
+import random
+import struct
+import zlib
+
+import pytest
+from conftest import EDGE_TEXTS, TOKENIZERS
+from tokenizers import Tokenizer
+
+from linelift.llm import packing, token_counts
+from linelift.llm.pretokens import Counts, Ids, byte_bpe_chunks
+
+WORD, BYTE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
+PARTS = [*" \n\t\r   ab!'sé12Σς", "\u0085", "\x1c", "\x0b", "​", "᠎", "　", "W̊",
+         "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "'ll", "don't", "  ", "\n\n", "🙂", "한",
+         "foo,", "bar***", "İ", "’"]
+
+
+def fuzz(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def test_chunks_have_the_ids_of_their_text():
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    ids, counts = Ids(word), Counts(byte)
+    for text in [t or "" for t in EDGE_TEXTS] + fuzz(4000, 3):
+        expected = word.encode(text, add_special_tokens=False).ids
+        assert ids.encode(text.encode()) == struct.pack(f"<{len(expected)}I", *expected), text
+        n = len(byte.encode(text, add_special_tokens=False).ids)
+        assert sum(counts[c] for c in byte_bpe_chunks(text.encode())) == n, text
+
+
+def test_caches_stay_bounded(monkeypatch):
+    from linelift.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 10)
+    ids, word = Ids(Tokenizer.from_file(WORD)), Tokenizer.from_file(WORD)
+    text = " ".join(f"word{i % 37}x, z{i}" for i in range(300))
+    expected = word.encode(text, add_special_tokens=False).ids
+    assert ids.encode(text.encode()) == struct.pack(f"<{len(expected)}I", *expected)
+    assert len(ids) <= 12 and len(ids.old) <= 12
+
+
+@pytest.mark.parametrize("entries", [0, 1000])
+def test_token_counts(docs, entries):
+    rows = list(enumerate(EDGE_TEXTS * 2)) + [(None, "no id"), (1, "again"), (1, "again")]
+    rows += [(100 + i, t) for i, t in enumerate(fuzz(60, 5))]
+    got = token_counts.token_counts(docs(rows, "n_tokens n_bytes over_limit lang"), tokenizer=BYTE,
+                                    max_tokens=20, table_entries=entries)
+    byte = Tokenizer.from_file(BYTE)
+    want = []
+    for doc_id, text in rows:
+        n = len(byte.encode(text or "", add_special_tokens=False).ids)
+        want.append((doc_id, len((text or "").encode()), n, n > 20))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert token_counts.token_counts(docs([]), tokenizer=BYTE).count() == 0
+
+
+def test_first_fit_decreasing_is_first_fit():
+    rng = random.Random(7)
+    for _ in range(50):
+        sizes = sorted((rng.randint(1, 64) for _ in range(rng.randint(1, 80))), reverse=True)
+        bins, offsets = packing.first_fit_decreasing(sizes, 64)
+        room: list[int] = []
+        for size, b, at in zip(sizes, bins, offsets):
+            first = next((i for i, r in enumerate(room) if r >= size), len(room))
+            if first == len(room):
+                room.append(64)
+            assert (b, at) == (first, 64 - room[first])
+            room[first] -= size
+
+
+@pytest.mark.parametrize("per_group,length", [(8192, 2048), (3, 16)])
+def test_pack_round_trip(docs, per_group, length):
+    rows = list(enumerate(EDGE_TEXTS)) + [(None, "no id here"), (3, "again and again"),
+                                          (3, "again and again")]
+    df = packing.pack(docs(rows, "start length offset pack_group"), tokenizer=WORD, length=length,
+                      docs_per_group=per_group)
+    pieces = df.collect()
+    word = Tokenizer.from_file(WORD)
+    want = []
+    for doc_id, text in rows:
+        ids = word.encode(text or "", add_special_tokens=False).ids + [1]
+        for start in range(0, len(ids), length):
+            part = ids[start:start + length]
+            want.append((doc_id, start, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)),
+                         len(ids)))
+    assert sorted((tuple(p)[:5] for p in pieces), key=str) == sorted(want, key=str)
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert at <= length
+
+
+def test_a_long_document_is_dealt_in_slices(docs, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_SLICE", 2)
+    run = packing._pieces(WORD, 4, 1000, 1)
+    assert run  # slices change the group, never the pieces
+    df = packing.pack(docs([(1, "one two three four five six seven eight nine ten " * 5)]),
+                      tokenizer=WORD, length=4, docs_per_group=1)
+    rows = sorted(df.collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == list(range(0, 51, 4))
+
+
+def test_pack_empty(docs):
+    assert packing.pack(docs([]), tokenizer=WORD).count() == 0
