@@ -69,7 +69,8 @@ def extendible_shards(rows: DataFrame, *, key: str = "doc_id", size: str = "n_by
         cells = (todo.groupBy(prefix.alias("prefix"))
                  .agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
         level = materialize(_directory(cells, done, limit), "directory")
-        entry = level.select(F.col("prefix").alias("_prefix"), F.struct(*added).alias("_found"))
+        found = F.when(F.col("shard").isNotNull(), F.struct(*added))
+        entry = level.select(F.col("prefix").alias("_prefix"), found.alias("_found"))
         if done == 0:  # 2 ** LEVEL_BITS entries at most
             entry = F.broadcast(entry)
         at = F.col("_found") if done == 0 else F.coalesce("_at", "_found")
