@@ -1,0 +1,80 @@
+"""Secret spans against Python's regular expressions, and the ledger's increments."""
+
+import hashlib
+import random
+import re
+
+from conftest import EDGE_TEXTS
+
+from linelift.llm import secret_scan
+from linelift.llm.secret_scan import RULES, Rule
+
+BASE = [
+    ("assign", re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
+                          r"([A-Za-z0-9+/_.=-]+)"), 2, 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+]
+MORE = [(r.kind, re.compile(r.pattern), r.group, r.least) for r in RULES if not r.base]
+
+
+def spans(text, rules):
+    found = [(m.start(), i, f"{kind}:{m.start()}:{m.end()}") for i, (kind, p, group, least) in
+             enumerate(rules) for m in p.finditer(text) if len(m.group(group)) >= least]
+    return [s for _, _, s in sorted(found)]
+
+
+def fuzz(n):
+    rng = random.Random(6)
+    parts = ["token", "TOKEN", "pass", "password", "Api_Key", "apikey", "ſecret", "secret", " = ", ":", "=", "\"",
+             "'", "abcdefgh", "abc", "x" * 9, "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef", "é",
+             "🙂", "\n", " ", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18, "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_spans_against_python(docs):
+    texts = EDGE_TEXTS + fuzz(400) + ["secret: token = abcdefgh", "token=token=abcdefgh12"]
+    rows = list(enumerate(texts)) + [(None, texts[20]), (3, texts[21]), (3, texts[21])]
+    got = secret_scan.secrets(docs(rows, "spans n_hex blob lang").repartition(3)).collect()
+    assert len(got) == len(rows)
+    want = []
+    for doc_id, text in rows:
+        text = text or ""
+        base = spans(text, BASE)
+        count = [sum(s.startswith(kind) for s in base) for kind in ("assign", "access", "hex")]
+        want.append((doc_id, *count, hashlib.sha256(",".join(base).encode()).hexdigest(),
+                     ",".join(spans(text, BASE + MORE))))
+    have = [(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in got]
+    assert sorted(have, key=str) == sorted(want, key=str)
+    assert any(w[5] for w in want) and any("pem" in w[5] for w in want)
+
+
+def test_ledger_scans_only_unseen_pairs(docs):
+    first = [(1, "token = abcdefgh1"), (2, "nothing"), (3, "nothing")]
+    ledger = secret_scan.update_ledger(docs(first))
+    assert ledger.count() == 2
+    second = first + [(1, "token = abcdefgh2"), (4, "nothing")]
+    new = secret_scan.update_ledger(docs(second), ledger)
+    assert new.count() == 1 and new.collect()[0]["spans"] == "assign:0:17"
+    both = ledger.unionByName(new)
+    assert secret_scan.update_ledger(docs(second), both).count() == 0
+    assert secret_scan.secrets(docs(second), both).count() == 5
+    # a changed rule set makes every blob unseen
+    rules = (*RULES, Rule("word", "nothing"))
+    assert secret_scan.update_ledger(docs(second), both, rules).count() == 3
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.secrets(docs(second), both, rules).collect()}
+    assert found[4] == "word:0:7"
+
+
+def test_findings_come_from_the_ledger(docs):
+    """A blob the ledger holds is not searched again: its row there is the answer."""
+    from pyspark.sql import functions as F
+
+    ledger = secret_scan.update_ledger(docs([(1, "token = abcdefgh1")]))
+    marked = ledger.withColumn("spans", F.lit("from the ledger"))
+    got = secret_scan.secrets(docs([(9, "token = abcdefgh1")]), marked).collect()
+    assert [r["spans"] for r in got] == ["from the ledger"]
+
+
+def test_empty(docs):
+    assert secret_scan.secrets(docs([])).count() == 0
