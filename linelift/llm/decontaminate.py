@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linelift.llm.common import need_columns, ship_package
-from linelift.llm.jaccard_join import hash_words, ngram_hashes
+from linelift.llm.shingles import ngram_hashes, word_hashes
 
 BLOCK_WORDS = 500_000
 """Words of the benchmark that are broadcast at a time: about 20 MB of arrays."""
@@ -38,9 +38,9 @@ ALIGNED = 4_000
 _WORD = re.compile(r"\w+")
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-case runs of letters, digits and underscores."""
-    return " ".join(_WORD.findall((text or "").lower())).encode().split(b" ") if text else []
+def text_words(text: str | None) -> np.ndarray:
+    """Hashes of the words: lower-case runs of letters, digits and underscores."""
+    return word_hashes(" ".join(_WORD.findall((text or "").lower())).encode())
 
 
 @dataclass
@@ -55,7 +55,7 @@ class Block:
 
 
 def make_block(items: list[tuple], n: int) -> Block:
-    tokens = [hash_words([w for w in words(text) if w]) for _, text in items]
+    tokens = [text_words(text) for _, text in items]
     grams, item, at = [], [], []
     for i, t in enumerate(tokens):
         g = ngram_hashes(t, min(n, max(1, len(t)))) if len(t) else np.empty(0, np.uint64)
@@ -89,6 +89,7 @@ class _Finder:
         self.grams = grams
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(grams >> np.uint64(42)).astype(np.int64)] = True
+        self.last = np.searchsorted(grams, grams, side="right")
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, index of the first equal entry) of the n-grams that are listed."""
@@ -159,7 +160,7 @@ def _align(block: Block, found: list[tuple]) -> list[float]:
 def _matches(block: Block, finder: _Finder, n: int, batch_words: list[np.ndarray]) -> list[tuple]:
     """(row, item, score, start, hits) of every window aligned."""
     lengths = np.array([len(t) for t in block.tokens])
-    last = np.searchsorted(block.grams, block.grams, side="right")
+    last = finder.last
     found, where = [], []
     for row, doc in enumerate(batch_words):
         hits_item, hits_shift = [], []
@@ -183,7 +184,7 @@ def _matches(block: Block, finder: _Finder, n: int, batch_words: list[np.ndarray
 
 def _document_words(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
     for text in batch.column(column):
-        yield hash_words([w for w in words(text.as_py()) if w])
+        yield text_words(text.as_py())
 
 
 def _count(table, n: int):
@@ -237,6 +238,13 @@ def _seed_blocks(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int
     return out
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time, so that a worker holds the words of few texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            yield batch.slice(start, 256)
+
+
 MATCHES = "doc_id long, item_id long, score double, n_hits int, start_word int"
 
 
@@ -259,7 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N,
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             block = table.value
             finder = _Finder(block.grams)
-            for batch in batches:
+            for batch in _small(batches):
                 best: dict = {}
                 for row, item, score, start, hits in _matches(
                         block, finder, n, list(_document_words(batch, 1))):
@@ -293,7 +301,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_score: float
     for table in _seed_blocks(docs, benchmark, n, block_words):
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             finder = _Finder(table.value.grams)
-            for batch in batches:
+            for batch in _small(batches):
                 dirty = {m[0] for m in _matches(table.value, finder, n,
                                                 list(_document_words(batch, text_at)))
                          if m[2] >= min_score}
