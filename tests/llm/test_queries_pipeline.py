@@ -1,0 +1,97 @@
+"""Registered queries against their SQL, and the pipeline against a brute-force version."""
+
+import struct
+import zlib
+
+import pytest
+from conftest import TOKENIZERS
+from oracle_compare import compare, duck_connect
+from test_exact_dedup import normal
+from test_jaccard_join import brute
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from linelift.llm import quality
+from linelift.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_its_sql(spark, name):
+    assert compare(QUERIES[name](spark, SF), duck_connect(SF), ORACLE_SQL[name]) == []
+
+
+def test_one_query_per_operator():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"] == list(range(1, 11))
+    import __spark_entry__
+
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_jaccard_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = QUERIES["op1_jaccard_join"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 4, 85))
+
+
+def test_token_query(spark):
+    byte = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = [(r["doc_id"], len(r["text"].encode()), n, n > 1024) for r in rows
+            for n in [len(byte.encode(r["text"], add_special_tokens=False).ids)]]
+    assert sorted(map(tuple, QUERIES["op5_token_counts"](spark, SF).collect())) == sorted(want)
+
+
+def test_pipeline_against_brute_force(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    good = stages["quality"](spark, docs, SF)
+    assert good.schema == docs.schema
+    weights = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    keep = {d for d, t in rows.items()
+            if quality.logistic(quality.sparse_dot(weights, t) + weights[-1]) >= 0.3}
+    assert {r["doc_id"] for r in good.collect()} == keep and len(keep) < len(rows)
+
+    unique = stages["exact_dedup"](spark, good, SF)
+    assert unique.schema == docs.schema
+    groups = {}
+    for d in keep:
+        groups.setdefault(normal(rows[d]), []).append((-len(rows[d]), d))
+    keep = {min(g)[1] for g in groups.values()}
+    assert {r["doc_id"] for r in unique.collect()} == keep
+
+    near = stages["near_dedup"](spark, unique, SF)
+    assert near.schema == docs.schema
+    keep = {d for d, _, c in brute([(d, rows[d]) for d in keep], 5, 80) if d == c}
+    assert {r["doc_id"] for r in near.collect()} == keep
+
+    clean = stages["decontamination"](spark, near, SF)
+    assert clean.schema == docs.schema
+    left = {r["doc_id"] for r in clean.collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    holds = {d for d in keep if any(i in rows[d] for i in items)}
+    assert holds and not holds & left and left <= keep
+
+    word = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    assert {p["doc_id"] for p in pieces} == left
+    for p in pieces:
+        ids = word.encode(rows[p["doc_id"]], add_special_tokens=False).ids + [1]
+        part = ids[p["start"]:p["start"] + p["length"]]
+        assert p["doc_tokens"] == len(ids) and len(part) == p["length"]
+        assert zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == p["ids_crc32"]
+    assert sum(p["length"] for p in pieces) == sum(
+        len(word.encode(rows[d], add_special_tokens=False).ids) + 1 for d in left)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import os
+
+    for name in ("labels", "benchmark"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
