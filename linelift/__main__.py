@@ -18,7 +18,7 @@ import dataclasses
 
 from pyspark.sql import SparkSession
 
-from linelift.plans.batch import run_reports
+from linelift.plans.batch import ReportBatch, run_reports
 from linelift.plans.params import DEFAULT, Params
 from linelift.plans.reports import REPORTS
 from linelift.sources.tpch import load_tables
@@ -33,8 +33,13 @@ def parse_params(pairs: list[str]) -> Params:
         if key not in types:
             raise SystemExit(f"unknown parameter {key!r}; known: {sorted(types)}")
         current = getattr(DEFAULT, key)
-        if isinstance(current, tuple):
-            kw[key] = tuple(v for v in value.split(",") if v)
+        if isinstance(current, bool):
+            kw[key] = value.lower() in ("1", "true", "yes")
+        elif key == "delinquency_levels":  # 2:2,3:3,...
+            kw[key] = tuple(tuple(int(x) for x in v.split(":")) for v in value.split(",") if v)
+        elif isinstance(current, tuple):
+            kind = type(current[0])
+            kw[key] = tuple(kind(v) for v in value.split(",") if v)
         elif isinstance(current, int) or "int" in str(types[key]):
             kw[key] = int(value)
         else:
@@ -68,14 +73,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         raise SystemExit(f"unknown reports {unknown}; known: {list(REPORTS)}")
     if not args.out:
         return {}
-    results = ({n: REPORTS[n](tables, p) for n in names} if args.standalone
+    results = (ReportBatch({n: REPORTS[n](tables, p) for n in names}) if args.standalone
                else run_reports(tables, p, names))
     written = {}
-    for name, df in results.items():
-        path = f"{args.out.rstrip('/')}/{name}"
-        writer = df.coalesce(1).write.mode("overwrite")  # a report is a small, sorted summary
-        (writer.option("header", True).csv(path) if args.format == "csv" else writer.parquet(path))
-        written[name] = path
+    with results:
+        for name, df in results.items():
+            path = f"{args.out.rstrip('/')}/{name}"
+            writer = df.write.mode("overwrite")  # sorted across its files, by file name
+            (writer.option("header", True).csv(path) if args.format == "csv"
+             else writer.parquet(path))
+            written[name] = path
     return written
 
 

@@ -28,11 +28,18 @@ TARGET_LIMIT = 4000
 TARGET_MIN_INCOME = 4000
 
 
-def band_conditions(limit: Column, income: Column, edges=BAND_EDGES, target_limit=TARGET_LIMIT,
-                    min_income=TARGET_MIN_INCOME) -> list[Column]:
-    """Predicates for bands a..h in order; the first that holds wins, none -> i."""
+def band_conditions(limit: Column, income: Column | None, edges=BAND_EDGES,
+                    target_limit=TARGET_LIMIT, min_income=TARGET_MIN_INCOME,
+                    high_income: Column | None = None) -> list[Column]:
+    """Predicates for bands a..h in order; the first that holds wins, none -> i.
+
+    ``high_income``: whether the income reaches ``min_income``, if it is known
+    already (then ``income`` is not read).
+    """
+    if high_income is None:
+        high_income = income >= F.lit(Decimal(min_income))
     conds = [
-        (income >= F.lit(Decimal(min_income))) & (limit < F.lit(Decimal(target_limit))),
+        high_income & (limit < F.lit(Decimal(target_limit))),
         limit < F.lit(Decimal(edges[0])),
     ]
     for lo, hi in zip(edges, edges[1:]):
@@ -41,13 +48,14 @@ def band_conditions(limit: Column, income: Column, edges=BAND_EDGES, target_limi
     return conds
 
 
-def limit_band(limit: Column | str, income: Column | str, labels=BAND_LABELS, **kw) -> Column:
+def limit_band(limit: Column | str, income: Column | str | None = None, labels=BAND_LABELS,
+               **kw) -> Column:
     """Band label of an account from its origination limit and income.
 
     Null income never satisfies band a, so it falls to b when the limit is
     below the first edge; a null limit satisfies nothing and lands in i.
     """
-    conds = band_conditions(col_(limit), col_(income), **kw)
+    conds = band_conditions(col_(limit), None if income is None else col_(income), **kw)
     if len(labels) != len(conds) + 1:
         raise ValueError(f"need {len(conds) + 1} labels, got {len(labels)}")
     expr = F.when(conds[0], F.lit(labels[0]))

@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 # The label given to applications without a risk label.
 UNIDENTIFIED_RISK_LABEL = "0. NO IDENTIFICADO"
 
-# Leading/trailing whitespace as one character class that Java regex and RE2
-# read the same way (``\s`` differs between them on vertical tab).
-_WS = r"[ \t\n\x0B\f\r]"
-_TRIM_PATTERN = rf"^{_WS}+|{_WS}+$"
+# Every Unicode white-space character at either end, line ends included.
+_TRIM_PATTERN = r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z"
 
 
 def col_(c: Column | str) -> Column:
@@ -60,10 +58,7 @@ def month_start(yr: Column | str, mo: Column | str) -> Column:
 
 
 def trim_ws(x: Column | str) -> Column:
-    """Strip leading and trailing whitespace (tabs and newlines too).
-
-    Spark's ``trim`` removes only spaces.
-    """
+    """Strip leading and trailing Unicode white space (Spark's ``trim`` removes only spaces)."""
     return F.regexp_replace(col_(x), _TRIM_PATTERN, "")
 
 
@@ -82,16 +77,41 @@ def month_trunc(d: Column | str) -> Column:
     return F.trunc(col_(d), "month")
 
 
-def mean_of(x: Column | str) -> Column:
+def mean_of(x: Column | str, weight: Column | None = None) -> Column:
     """Mean of a decimal column as DOUBLE: exact decimal sum / non-null count.
 
     ``avg(decimal)`` returns a wider decimal in Spark; summing exactly and
-    dividing once keeps the result independent of row order.
+    dividing once keeps the result independent of row order. With ``weight``,
+    each row counts that many times.
     """
     x = col_(x)
-    return F.try_divide(F.sum(x).cast("double"), F.count(x).cast("double"))
+    if weight is None:
+        return F.try_divide(F.sum(x).cast("double"), F.count(x).cast("double"))
+    return F.try_divide(F.sum(x * weight).cast("double"),
+                        F.sum(F.when(x.isNotNull(), weight)).cast("double"))
 
 
 def money_sum(x: Column | str) -> Column:
     """Exact decimal sum, widened to DECIMAL(38,2)."""
     return F.sum(col_(x)).cast("decimal(38,2)")
+
+
+RATIO_BITS, AMOUNT_BITS = 40, 20
+
+
+def fixed_sum(x: Column | str, bits: int = AMOUNT_BITS, weight: Column | None = None) -> Column:
+    """Sum of doubles in units of 2^-``bits``, as a double; null without non-null values.
+
+    Each value is rounded to a whole number of units and those are summed
+    exactly, so the result does not depend on the order of the rows.
+    """
+    units = F.rint(col_(x) * float(2 ** bits)).cast("decimal(38,0)")
+    if weight is not None:
+        units = units * weight.cast("decimal(18,0)")
+    return F.sum(units).cast("double") / float(2 ** bits)
+
+
+def fixed_mean(x: Column | str, bits: int = RATIO_BITS, weight: Column | None = None) -> Column:
+    """Mean of the non-null doubles, from ``fixed_sum``."""
+    count = F.count(col_(x)) if weight is None else F.sum(F.when(col_(x).isNotNull(), weight))
+    return safe_divide(fixed_sum(x, bits, weight), count)

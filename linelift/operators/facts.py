@@ -47,26 +47,43 @@ def eligible_applications(applications: DataFrame, *, org_code: int,
 
 def open_account_months(account_month: DataFrame, *, info_type: int, year_floor: int,
                         excluded_statuses: Sequence[str] = CLOSED_STATUSES) -> DataFrame:
-    """Monthly rows of the product, not closed, from ``year_floor`` on.
+    """Monthly rows of the product, not closed, from ``year_floor`` on (``is_open``).
 
     ``NOT IN`` drops null statuses as well (the predicate is null for them).
     ``yr`` is the partition column of a materialised fact, so the floor prunes files.
     """
-    return account_month.where(
-        (F.col("info_type") == info_type)
-        & ~F.col("status_code").isin(*excluded_statuses)
-        & (F.col("yr") >= year_floor))
+    return account_month.where(is_open(info_type, excluded_statuses)
+                               & (F.col("yr") >= year_floor))
+
+
+def is_open(info_type: int, excluded_statuses: Sequence[str] = CLOSED_STATUSES) -> Column:
+    """Whether a monthly row is of the product and not closed (null for a null status)."""
+    return (F.col("info_type") == info_type) & ~F.col("status_code").isin(*excluded_statuses)
+
+
+def unique_accounts(accounts: DataFrame) -> DataFrame:
+    """``accounts``, failing when an account has several rows.
+
+    The reports carry per-account aggregates along instead of joining them back
+    as often as the source does, which is the same only for unique accounts. The
+    check is part of the plan: its aggregate is partitioned like the join above it.
+    """
+    several = F.raise_error(F.concat(F.lit("accounts has several rows for account_id "),
+                                     F.col("account_id").cast("string")))
+    return (accounts.where(F.col("account_id").isNotNull()).groupBy("account_id")
+            .agg(F.count(F.lit(1)).alias("_rows"), F.max("open_date").alias("open_date"))
+            .select("account_id", F.when(F.col("_rows") == 1, F.col("open_date"))
+                    .otherwise(several).alias("open_date")))
 
 
 def months_on_book(months: DataFrame, accounts: DataFrame, how: str = "left") -> DataFrame:
     """Add ``open_date`` and ``mob`` (calendar months from the opening month).
 
     ``how="left"`` keeps month rows without an account row (``open_date`` and
-    ``mob`` null); ``how="inner"`` drops them. ``accounts`` is a dimension with
-    one row per account; Spark broadcasts it when AQE measures it small, else
-    the join is a sort-merge on ``account_id``.
+    ``mob`` null); ``how="inner"`` drops them. ``accounts`` must have one row per
+    account (``unique_accounts``).
     """
-    joined = months.join(accounts, "account_id", how)
+    joined = months.join(unique_accounts(accounts), "account_id", how)
     return joined.withColumn("mob", month_diff(month_start("yr", "mo"), month_trunc("open_date")))
 
 
@@ -75,10 +92,19 @@ def net_placement(purchases: str = "purchases_ltd", returns: str = "returns_ltd"
     return F.col(purchases) - F.col(returns)
 
 
-def distinct_universe(applications: DataFrame, *, org_code: int,
-                      date_from: str | dt.date) -> DataFrame:
+def latest_applications(applications: DataFrame) -> DataFrame:
+    """One application per account: the latest, ties broken by the other columns."""
+    rest = [c for c in applications.columns if c not in ("account_id", "application_date")]
+    latest = F.max(F.struct("application_date", *rest)).alias("latest")
+    return applications.groupBy("account_id").agg(latest).select("account_id", "latest.*").select(
+        *applications.columns)
+
+
+def distinct_universe(applications: DataFrame, *, org_code: int, date_from: str | dt.date,
+                      bureau_in: Sequence[str] | None = None) -> DataFrame:
     """De-duplicated (account, bureau status, clean label, income) from a date on."""
-    apps = eligible_applications(applications, org_code=org_code, date_from=date_from)
+    apps = eligible_applications(applications, org_code=org_code, date_from=date_from,
+                                 bureau_in=bureau_in)
     return apps.select(
         "account_id", "bureau_hit", clean_label("risk_label").alias("risk_label"), "income",
     ).distinct()

@@ -94,20 +94,17 @@ def restrict(fact: DataFrame, universe: DataFrame | None, key: str = "account_id
 
 
 def account_profile(mob_fact: DataFrame, keys: Sequence[str] = ("account_id", "open_date"),
-                    *aggs: Column, universe: DataFrame | None = None) -> DataFrame:
+                    *aggs: Column) -> DataFrame:
     """One row per ``keys`` with the origination limit plus ``aggs``."""
-    return (restrict(mob_fact, universe)
-            .groupBy(*keys)
-            .agg(origination_limit().alias("credit_limit"), *aggs))
+    return mob_fact.groupBy(*keys).agg(origination_limit().alias("credit_limit"), *aggs)
 
 
 def profit_milestones(profit_month: DataFrame, accounts: DataFrame, universe: DataFrame, *,
                       year_floor: int, months: Sequence[int] = VALUE_MILESTONES) -> DataFrame:
     """Cumulative profit at each milestone MOB for accounts in ``universe``.
 
-    The source joins the universe (several rows per account) and takes a max,
-    which is duplicate-insensitive, so a semi join gives the same values without
-    the fan-out.
+    A max is the same however often a row is repeated, so the universe (several
+    rows per account) only restricts, by a semi join.
     """
     from linelift.operators.facts import months_on_book
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelift.functions.bands import TARGET_LIMIT, TARGET_MIN_INCOME
-from linelift.functions.columns import floor_zero, money_sum, safe_divide
+from linelift.functions.columns import (RATIO_BITS, fixed_mean, fixed_sum, floor_zero, money_sum,
+                                        safe_divide)
+from linelift.operators.skew import weight_of
 from linelift.sources.schema import MONEY
 
 BENCHMARK_KEYS = ("bureau_hit", "score_segment", "risk_label", "new_limit")
@@ -24,9 +26,14 @@ def _money(v) -> Column:
 
 
 def what_if_limit(df: DataFrame, *, floor: int = TARGET_LIMIT, min_income: int = TARGET_MIN_INCOME,
-                  limit: str = "credit_limit", income: str = "income") -> DataFrame:
-    """Raise the limit to ``floor`` when income >= ``min_income`` and limit < ``floor``."""
-    raise_it = (F.col(income) >= min_income) & (F.col(limit) < floor)
+                  limit: str = "credit_limit", income: str = "income",
+                  high_income: Column | None = None) -> DataFrame:
+    """Raise the limit to ``floor`` when income >= ``min_income`` and limit < ``floor``.
+
+    ``high_income``: the income test's outcome, if ``income`` was collapsed to it.
+    """
+    high = F.col(income) >= min_income if high_income is None else high_income
+    raise_it = high & (F.col(limit) < floor)
     return df.withColumn("new_limit", F.when(raise_it, _money(floor)).otherwise(F.col(limit)))
 
 
@@ -48,8 +55,9 @@ def peer_benchmarks(scenario: DataFrame, keys: Sequence[str] = BENCHMARK_KEYS) -
     aggs = [safe_divide(F.sum(f"accts_dq_{m}m"), F.sum(f"accts_{m}m")).alias(f"rate_dq_{m}m")
             for m in RATE_MILESTONES]
     for m in UTIL_MILESTONES:
-        aggs.append(F.avg(safe_divide(floor_zero(f"bal_dq_{m}m"), lim)).alias(f"util_dq_{m}m"))
-        aggs.append(F.avg(safe_divide(floor_zero(f"bal_{m}m"), lim)).alias(f"util_{m}m"))
+        aggs.append(fixed_mean(safe_divide(floor_zero(f"bal_dq_{m}m"), lim))
+                    .alias(f"util_dq_{m}m"))
+        aggs.append(fixed_mean(safe_divide(floor_zero(f"bal_{m}m"), lim)).alias(f"util_{m}m"))
     return scenario.groupBy(*keys).agg(*aggs)
 
 
@@ -57,10 +65,16 @@ def attach_benchmarks(scenario: DataFrame, benchmarks: DataFrame,
                       keys: Sequence[str] = BENCHMARK_KEYS) -> DataFrame:
     """Left equi-join on the peer keys: a row with any null key gets no benchmark.
 
-    The benchmark side is an aggregate; AQE broadcasts it after measuring it,
-    and otherwise splits skewed peer groups of the sort-merge join.
+    Only rows without a positive limit are projected by their peers, so only
+    those are joined; the others keep null benchmarks. A peer group has one row
+    in ``benchmarks``, so this side may be joined from a written or measured
+    table without fan-out.
     """
-    return scenario.join(benchmarks, list(keys), "left")
+    own = F.coalesce(F.col("credit_limit") > 0, F.lit(False))
+    added = [c for c in benchmarks.columns if c not in keys]
+    types = dict(benchmarks.dtypes)
+    alone = scenario.where(own).withColumns({c: F.lit(None).cast(types[c]) for c in added})
+    return alone.unionByName(scenario.where(~own).join(benchmarks, list(keys), "left"))
 
 
 def project_balances(df: DataFrame, milestones: Sequence[int] = PROJECTED_MILESTONES) -> DataFrame:
@@ -92,8 +106,8 @@ def scenario_totals(projected: DataFrame, keys: Sequence[str] = ("bureau_hit", "
         aggs += [money_sum(f"bal_{m}m").alias(f"total_bal_{m}m"),
                  money_sum(f"bal_dq_{m}m").alias(f"total_bal_dq_{m}m")]
     for m in milestones:
-        aggs += [F.sum(f"bal_{m}m_new").alias(f"total_bal_{m}m_new"),
-                 F.sum(f"bal_dq_{m}m_new").alias(f"total_bal_dq_{m}m_new")]
+        aggs += [fixed_sum(f"bal_{m}m_new").alias(f"total_bal_{m}m_new"),
+                 fixed_sum(f"bal_dq_{m}m_new").alias(f"total_bal_dq_{m}m_new")]
     return projected.groupBy(*keys).agg(*aggs)
 
 
@@ -112,30 +126,30 @@ def grouped_scenario_totals(lines: DataFrame, keys: Sequence[str] = ("bureau_hit
     limit [x peer rate]); all three factors are constant inside a peer group
     (``new_limit`` is a peer key). So the projected sum of a group is its own
     rows' sum plus that constant times the group's count of such rows, and a
-    group with a null key gets no peer term (the equi-join in the source never
-    matches it). The same totals as :func:`scenario_totals` over
-    :func:`project_balances` (up to the order double sums are added in), with
+    group with a null key gets no peer term (an equi-join never matches it). The
+    same totals as :func:`scenario_totals` over :func:`project_balances`, with
     one pass over the lines: partial aggregation handles hot peer groups, and
-    nothing joins a large table to a low-cardinality one.
+    nothing joins a large table to a low-cardinality one. Collapsed lines count
+    as often as their weight.
     """
-    lim, new = F.col("credit_limit"), F.col("new_limit")
+    lim, new, n = F.col("credit_limit"), F.col("new_limit"), weight_of(lines)
     has_limit = lim > 0
     aggs = [
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.when(F.col("account_id") > 0, 1).otherwise(0)).alias("n_accounts"),
-        F.count_if(~F.coalesce(has_limit, F.lit(False))).alias("n_peer"),
+        F.sum(n).alias("n_rows"),
+        F.sum(F.when(F.col("account_id") > 0, n).otherwise(0)).alias("n_accounts"),
+        F.sum(F.when(F.coalesce(has_limit, F.lit(False)), 0).otherwise(n)).alias("n_peer"),
     ]
     for m in milestones:
+        use, use_dq = (safe_divide(floor_zero(f"{c}_{m}m"), lim) for c in ("bal", "bal_dq"))
         aggs += [
-            safe_divide(F.sum(f"accts_dq_{m}m"), F.sum(f"accts_{m}m")).alias(f"rate_dq_{m}m"),
-            F.avg(safe_divide(floor_zero(f"bal_{m}m"), lim)).alias(f"util_{m}m"),
-            F.avg(safe_divide(floor_zero(f"bal_dq_{m}m"), lim)).alias(f"util_dq_{m}m"),
-            F.sum(F.when(has_limit, safe_divide(floor_zero(f"bal_{m}m"), lim) * new))
-            .alias(f"own_{m}m"),
-            F.sum(F.when(has_limit, safe_divide(floor_zero(f"bal_dq_{m}m"), lim) * new))
-            .alias(f"own_dq_{m}m"),
-            F.sum(f"bal_{m}m").alias(f"act_{m}m"),
-            F.sum(f"bal_dq_{m}m").alias(f"act_dq_{m}m"),
+            safe_divide(F.sum(F.col(f"accts_dq_{m}m") * n), F.sum(F.col(f"accts_{m}m") * n))
+            .alias(f"rate_dq_{m}m"),
+            fixed_mean(use, RATIO_BITS, n).alias(f"util_{m}m"),
+            fixed_mean(use_dq, RATIO_BITS, n).alias(f"util_dq_{m}m"),
+            fixed_sum(F.when(has_limit, use * new), weight=n).alias(f"own_{m}m"),
+            fixed_sum(F.when(has_limit, use_dq * new), weight=n).alias(f"own_dq_{m}m"),
+            F.sum(F.col(f"bal_{m}m") * n).alias(f"act_{m}m"),
+            F.sum(F.col(f"bal_dq_{m}m") * n).alias(f"act_dq_{m}m"),
         ]
     groups = lines.groupBy(*bench_keys).agg(*aggs)
     matched = F.lit(True)
@@ -154,9 +168,9 @@ def grouped_scenario_totals(lines: DataFrame, keys: Sequence[str] = ("bureau_hit
         out += [money_sum(f"act_{m}m").alias(f"total_bal_{m}m"),
                 money_sum(f"act_dq_{m}m").alias(f"total_bal_dq_{m}m")]
     for m in milestones:
-        out += [_add_skipping_nulls(F.sum(f"own_{m}m"), F.sum(f"peer_{m}m"))
+        out += [_add_skipping_nulls(fixed_sum(f"own_{m}m"), fixed_sum(f"peer_{m}m"))
                 .alias(f"total_bal_{m}m_new"),
-                _add_skipping_nulls(F.sum(f"own_dq_{m}m"), F.sum(f"peer_dq_{m}m"))
+                _add_skipping_nulls(fixed_sum(f"own_dq_{m}m"), fixed_sum(f"peer_dq_{m}m"))
                 .alias(f"total_bal_dq_{m}m_new")]
     return groups.groupBy(*keys).agg(*out)
 
@@ -166,9 +180,8 @@ def delinquency_ratios(totals: DataFrame, keys: Sequence[str] = ("bureau_hit", "
                        digits: int = 9) -> DataFrame:
     """Delinquent / total balance, actual and projected, per milestone.
 
-    Ratios are reported at ``digits`` decimals (the scale of the source
-    warehouse's NUMERIC): projected sums add doubles, whose last bits depend on
-    the order rows arrive in.
+    Ratios are reported at ``digits`` decimals, the scale of the source
+    warehouse's NUMERIC.
     """
     cols = [*keys, "applications", "accounts"]
     for m in milestones:

@@ -8,29 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linelift.functions.columns import mean_of, money_sum, safe_divide
+from linelift.operators.skew import weight_of
 
 RISK_LEVELS = tuple(range(6))
 
 
 def count_by_status(df: DataFrame, key: str, statuses: Sequence[str] = ("HIT", "NOHIT"),
                     status_col: str = "bureau_hit") -> DataFrame:
-    """Per ``key``, one count column per status plus the count of all rows."""
-    aggs = [F.count_if(F.col(status_col) == s).alias(f"accounts_{s.lower().replace(' ', '_')}")
-            for s in statuses]
-    return df.groupBy(key).agg(*aggs, F.count(F.lit(1)).alias("accounts_total"))
+    """Per ``key``, one count column per status plus the count of all rows
+    (collapsed rows count as often as their weight)."""
+    n = weight_of(df)
+    aggs = [F.sum(F.when(F.col(status_col) == s, n).otherwise(0))
+            .alias(f"accounts_{s.lower().replace(' ', '_')}") for s in statuses]
+    return df.groupBy(key).agg(*aggs, F.sum(n).alias("accounts_total"))
 
 
 def share_of_total(counts: DataFrame, count_cols: Sequence[str],
                    share_cols: Sequence[str]) -> DataFrame:
     """Each count over its column's grand total (null when the total is 0).
 
-    ``counts`` is a summary with one row per band or label (a handful of rows),
-    so the grand totals are an un-partitioned window over a bounded relation:
-    no join, and no shuffle of anything but those few rows.
+    The grand totals are scalar subqueries over a two-step aggregation, so
+    ``counts`` may have any number of rows and is never gathered in one task.
     """
-    everything = Window.partitionBy()
     return counts.withColumns({
-        share: safe_divide(F.col(c), F.sum(c).over(everything))
+        share: safe_divide(F.col(c), counts.agg(F.sum(c)).scalar())
         for c, share in zip(count_cols, share_cols)
     })
 
@@ -65,21 +66,25 @@ def pivot_risk_levels(df: DataFrame, key: Column, levels: Sequence[int] = RISK_L
 def limit_summary(df: DataFrame, key: str, current: str = "credit_limit",
                   new: str = "new_limit") -> DataFrame:
     """Rows, and rounded mean / min / max of the current and the new limit."""
-    aggs = [F.count(F.lit(1)).alias("total_accounts")]
+    n = weight_of(df)
+    aggs = [F.sum(n).alias("total_accounts")]
     for col, tag in ((current, "current"), (new, "new")):
-        aggs += [F.round(mean_of(col), 2).alias(f"avg_limit_{tag}"),
+        aggs += [F.round(mean_of(col, n), 2).alias(f"avg_limit_{tag}"),
                  F.min(col).alias(f"min_limit_{tag}"),
                  F.max(col).alias(f"max_limit_{tag}")]
     return df.groupBy(key).agg(*aggs)
 
 
-def roi_by_horizon(df: DataFrame, keys: Sequence[str], horizons: Sequence[int] = (6, 9, 12)) -> DataFrame:
+def roi_by_horizon(df: DataFrame, keys: Sequence[str], horizons: Sequence[int] = (6, 9, 12),
+                   unique_accounts: bool = False) -> DataFrame:
     """Distinct accounts, mean limit, and per horizon placement, profit, ratio.
 
     Numerator and denominator of each ratio are summed over their own non-null
-    rows, as in the source.
+    rows. ``unique_accounts``: an account has one row per group, so counting rows
+    counts accounts, without the extra grouping of a distinct count.
     """
-    aggs = [F.count_distinct("account_id").alias("total_accounts"),
+    accounts = F.count("account_id") if unique_accounts else F.count_distinct("account_id")
+    aggs = [accounts.alias("total_accounts"),
             F.round(mean_of("credit_limit"), 2).alias("avg_limit")]
     for h in horizons:
         placed, profit = F.col(f"placed_{h}m"), F.col(f"profit_{h}m")

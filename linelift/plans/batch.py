@@ -4,16 +4,15 @@ Alone, each report makes its own pass over the monthly fact: filter, join the
 account dimension, aggregate per account. Eight of the nine reports make the
 same pass (same filters, same grouping key) and differ only in the aggregate
 columns they keep. Run as a batch, the fact is aggregated once per
-(account_id, open_date) with every column any report reads. The profile is
-written as Parquet under the session's shared ``spark.checkpoint.dir``, which
-also cuts lineage: a lost executor never re-runs the fact pass. Each report
-then reads the profile.
-
-The profile is exact when the model's keys hold: ``accounts`` unique per
-account_id and monthly rows unique per (account_id, yr, mo). Then grouping by
-account or by (account, open date) gives the same rows, and the activation
-report's per-month pre-aggregation is the identity. The derived test tables
-and the stored warehouse tables satisfy both keys.
+(account_id, open_date) with every column any report reads, for the accounts that
+the chosen reports can keep. The profile is written as Parquet under the
+session's shared ``spark.checkpoint.dir``, which also cuts lineage: a lost
+executor never re-runs the fact pass. Each report then reads the profile;
+``ReportBatch.close`` deletes it.
+
+The profile needs unique accounts, like the reports (``unique_accounts`` checks
+it), and monthly rows unique per (account_id, yr, mo): then the activation
+report's per-month pre-aggregation is the identity.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from linelift.operators.facts import net_placement
+from linelift.operators.facts import ALL_BUREAU, HIT_NOHIT, eligible_applications, net_placement
 from linelift.operators.profiles import (activation_flag, milestone_delinquency,
                                          milestone_values, origination_limit)
 from linelift.plans import reports as R
@@ -30,56 +29,97 @@ from linelift.plans.params import DEFAULT, Params
 from linelift.sources.schema import TableSource
 from linelift.sources.warehouse import shared_path
 
+# The windows whose accounts a report keeps: (from, to, bureau statuses) by parameter name.
+_WINDOW = ("window_from", "window_to")
+_UNIVERSES = {
+    "lroi_by_cohort": (("roi_from", None), ALL_BUREAU),
+    "limit_band_distribution": (_WINDOW, HIT_NOHIT),
+    "avg_limit_trend": (("trend_after", None), HIT_NOHIT),
+    "delinquency_what_if_total": (_WINDOW, ALL_BUREAU),
+    "limit_what_if_summary": (_WINDOW, HIT_NOHIT),
+    "risk_mix_by_band": (_WINDOW, HIT_NOHIT),
+    "delinquency_what_if_target": (("target_from", "target_to"), HIT_NOHIT),
+    "activation_by_band": (_WINDOW, HIT_NOHIT),
+}
+
+
+def readers(names: list[str], p: Params = DEFAULT) -> list[str]:
+    """The chosen reports that read the shared profile: not the one that reads no
+    monthly fact, nor those with a year floor of their own."""
+    other = {"lroi_by_cohort": p.roi_year_floor, "delinquency_what_if_target": p.r8_year_floor}
+    return [n for n in names if n in _UNIVERSES and other.get(n, p.year_floor) == p.year_floor]
+
 
-def shared_profile(t: TableSource, p: Params = DEFAULT) -> DataFrame:
+def profile_universe(t: TableSource, p: Params, names: list[str]) -> DataFrame:
+    """The accounts that any of the reports can keep."""
+    kept = None
+    for (start, end), statuses in {_UNIVERSES[n] for n in names}:
+        apps = eligible_applications(t.applications, org_code=p.org_code,
+                                     date_from=getattr(p, start),
+                                     date_to=end and getattr(p, end), bureau_in=statuses)
+        apps = apps.select("account_id")
+        kept = apps if kept is None else kept.union(apps)
+    return kept
+
+
+def shared_profile(t: TableSource, p: Params = DEFAULT,
+                   universe: DataFrame | None = None) -> DataFrame:
     """One row per (account_id, open_date): origination limit, delinquency
     milestones, placement milestones and the activation flag."""
-    fact = R.month_fact(t, p).withColumn("placed", net_placement())
+    fact = R.month_fact(t, p, universe=universe).withColumn("placed", net_placement())
     return fact.groupBy("account_id", "open_date").agg(
         origination_limit().alias("credit_limit"),
-        *milestone_delinquency(),
-        *milestone_values("placed", prefix="placed"),
+        *milestone_delinquency(dict(p.delinquency_levels)),
+        *milestone_values("placed", p.horizons, prefix="placed"),
         activation_flag(months=p.activation_months).alias("activated_3m"),
     )
 
 
+class ReportBatch(dict):
+    """Report name -> DataFrame. ``close`` (or leaving a ``with`` block) deletes the
+    stored profile; the reports cannot be read any more then."""
+
+    def __init__(self, reports: dict[str, DataFrame], profile_path: str | None = None):
+        super().__init__(reports)
+        self.profile_path = profile_path
+
+    def close(self) -> None:
+        if self.profile_path and self:
+            sc = next(iter(self.values())).sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(self.profile_path)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        self.profile_path = None
+
+    def __enter__(self) -> "ReportBatch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def materialise_profile(t: TableSource, p: Params = DEFAULT, path: str | None = None,
-                        buckets: int | None = None) -> DataFrame:
+                        universe: DataFrame | None = None) -> tuple[DataFrame, str]:
     """Write the shared profile to ``path`` (default: a new folder under the
-    shared checkpoint directory) and return it read back from there.
-
-    With ``buckets`` the profile is stored bucketed and sorted by account_id
-    as a session-catalog table whose files live at ``path``. A report's join
-    on account_id then reads the profile already partitioned: only the other
-    side is shuffled, each time the profile is used.
-    """
-    profile = shared_profile(t, p)
+    shared checkpoint directory); it read back from there, and the path."""
+    profile = shared_profile(t, p, universe)
     spark = profile.sparkSession
-    name = f"linelift_profile_{uuid.uuid4().hex}"
-    path = path or shared_path(spark, name)
-    if not buckets:
-        profile.write.mode("overwrite").parquet(path)
-        return spark.read.schema(profile.schema).parquet(path)
-    # Hash-partition into exactly the buckets first (the same hash bucketing
-    # uses): each task then writes one bucket file, not one file per bucket
-    # it happens to hold (tasks x buckets small files at scale).
-    (profile.repartition(buckets, "account_id")
-     .write.mode("overwrite").format("parquet").option("path", path)
-     .bucketBy(buckets, "account_id").sortBy("account_id").saveAsTable(name))
-    return spark.table(name)
+    path = path or shared_path(spark, f"linelift_profile_{uuid.uuid4().hex}")
+    profile.write.mode("overwrite").parquet(path)
+    return spark.read.schema(profile.schema).parquet(path), path
 
 
 def run_reports(t: TableSource, p: Params = DEFAULT, names: list[str] | None = None,
-                profile_path: str | None = None, buckets: int | None = None) -> dict[str, DataFrame]:
-    """The chosen reports (default: all nine) over one materialised profile.
+                profile_path: str | None = None) -> ReportBatch:
+    """The chosen reports (default: all nine), over one materialised profile if at least
+    one of them reads it.
 
     The profile is written eagerly (one job over the monthly fact); the
-    returned DataFrames are lazy and read it. ``buckets`` defaults to the
-    session's shuffle partition count.
+    returned DataFrames are lazy and read it.
     """
     names = list(R.REPORTS) if names is None else names
-    spark = t.applications.sparkSession
-    if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    profile = materialise_profile(t, p, profile_path, buckets)
-    return {name: R.REPORTS[name](t, p, profile=profile) for name in names}
+    shared = readers(names, p)
+    if not shared:
+        return ReportBatch({n: R.REPORTS[n](t, p) for n in names})
+    profile, path = materialise_profile(t, p, profile_path, profile_universe(t, p, shared))
+    return ReportBatch({n: R.REPORTS[n](t, p, profile=profile if n in shared else None)
+                        for n in names}, path)

@@ -3,13 +3,14 @@
 Mapping (FIXTURES.md section 2): an account is a customer, an application is
 an order, and a monthly snapshot row is a customer x ship month of its line
 items. Both monthly facts come from one customer-month aggregate of
-``lineitem`` joined to ``orders``, so a plan that needs both (``lroi_by_cohort``)
-scans and shuffles ``lineitem`` once and reuses that exchange.
-
-Deliberate gaps, to exercise the outer-join rules of the reports: one account
-key in 97 has no ``accounts`` row (left-join misses), one in five has no
-profitability feed, and some balances/limits are null or 0. These shape the
-data model; they are not row caps - every report reads whole tables.
+``lineitem`` joined to ``orders``; ``month_with_profit`` offers both on one row,
+so a plan that needs both (``lroi_by_cohort``) scans ``lineitem`` once.
+
+Every gap comes from the data: an account opens with its first completed
+order, so a customer without one has no ``accounts`` row (left-join misses);
+profit is booked for completed lines only, so a month without any has no profit
+row; a balance is null in a month whose lines are all untaxed, a limit in a
+month whose lines are all undiscounted.
 """
 
 from __future__ import annotations
@@ -36,13 +37,17 @@ RAW_SCHEMAS = {
         T.StructField("l_linenumber", T.IntegerType()),
         T.StructField("l_quantity", T.DoubleType()),
         T.StructField("l_extendedprice", T.DoubleType()),
+        T.StructField("l_discount", T.DoubleType()),
+        T.StructField("l_tax", T.DoubleType()),
         T.StructField("l_returnflag", T.StringType()),
+        T.StructField("l_linestatus", T.StringType()),
         T.StructField("l_shipdate", T.TimestampNTZType()),
     ]),
     "orders": T.StructType([
         T.StructField("o_orderkey", T.LongType()),
         T.StructField("o_custkey", T.LongType()),
         T.StructField("o_orderstatus", T.StringType()),
+        T.StructField("o_totalprice", T.DoubleType()),
         T.StructField("o_orderdate", T.TimestampNTZType()),
         T.StructField("o_orderpriority", T.StringType()),
     ]),
@@ -70,29 +75,25 @@ def customer_month(raw: dict[str, DataFrame]) -> DataFrame:
     # Money is summed as exact cents in a long: the same values as a decimal
     # sum, without the BigDecimal buffers a DECIMAL(28+) sum uses.
     cents = (F.col("l_extendedprice").cast(MONEY) * 100).cast("long")
-    # Orders grow with lineitem and are never broadcast at scale, so the join
-    # is always shuffled on the order key. A shuffled hash join builds on the
-    # orders side of each partition (a slice of one table) and streams
-    # lineitem without sorting it; AQE still splits skewed partitions.
+    completed = F.col("l_linestatus") == "F"
     return (
-        lineitem.join(orders.hint("shuffle_hash"), lineitem.l_orderkey == orders.o_orderkey,
-                      "inner")
+        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, "inner")
         .groupBy(F.col("o_custkey").alias("account_id"),
                  F.year(ship).cast("int").alias("yr"),
                  F.month(ship).cast("int").alias("mo"))
         .agg(
-            # o_orderstatus is CHAR(1): the min of its code point is the min of
-            # the string, and keeps the aggregate a HashAggregate (a string
-            # min/max forces a sort-based aggregate).
-            F.min(F.ascii("o_orderstatus")).alias("status_point"),
+            F.min("o_orderstatus").alias("status_code"),
             F.max("l_linenumber").alias("delinquency_level"),
             F.sum(F.when(returned, -100).otherwise(100) * qty).alias("net_units"),
             F.min("l_extendedprice").alias("min_price"),
+            F.max("l_tax").alias("max_tax"),
+            F.max("l_discount").alias("max_discount"),
             F.min(F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 40), ship))
             .alias("first_purchase_date"),
             F.sum(cents).alias("purchase_cents"),
             F.sum(F.when(returned, cents).otherwise(0)).alias("return_cents"),
-            F.sum(F.when(returned, -50).otherwise(80) * qty).alias("profit_units"),
+            F.sum(F.when(completed, F.when(returned, -50).otherwise(80) * qty))
+            .alias("profit_units"),
         )
     )
 
@@ -106,54 +107,59 @@ def _life_to_date(col: str, scale: int = 0) -> F.Column:
     return (total / F.lit(10 ** scale) if scale else total).cast(MONEY)
 
 
-def account_month(cm: DataFrame) -> DataFrame:
-    acct = F.col("account_id")
-    balance = (F.when((acct + F.col("yr") * 12 + F.col("mo")) % 23 == 0, F.lit(None).cast(MONEY))
-               .otherwise(F.col("net_units").cast(MONEY)))
-    limit = (F.when(acct % 53 == 0, F.lit(None).cast(MONEY))
-             .when(acct % 41 == 0, F.lit(0).cast(MONEY))
-             .otherwise((F.floor(F.col("min_price") / 2000) * 500).cast(MONEY)))
-    return conform(cm.select(
+def _month_columns() -> list[F.Column]:
+    return [
         "account_id", "yr", "mo",
         F.lit(PRODUCT_CODE).alias("info_type"),
-        F.chr("status_point").alias("status_code"),
+        "status_code",
         F.col("delinquency_level").cast("int").alias("delinquency_level"),
-        balance.alias("balance"),
-        limit.alias("credit_limit"),
+        F.when(F.col("max_tax") > 0, F.col("net_units").cast(MONEY)).alias("balance"),
+        F.when(F.col("max_discount") > 0, (F.floor(F.col("min_price") / 2000) * 500).cast(MONEY))
+        .alias("credit_limit"),
         "first_purchase_date",
         _life_to_date("purchase_cents", 2).alias("purchases_ltd"),
         _life_to_date("return_cents", 2).alias("returns_ltd"),
-    ), SCHEMAS["account_month"], "account_month")
+    ]
+
+
+def account_month(cm: DataFrame) -> DataFrame:
+    return conform(cm.select(*_month_columns()), SCHEMAS["account_month"], "account_month")
 
 
 def profit_month(cm: DataFrame) -> DataFrame:
     return conform(
-        cm.where(F.col("account_id") % 5 != 0)
+        cm.where(F.col("profit_units").isNotNull())
         .select("account_id", "yr", "mo", _life_to_date("profit_units").alias("profit_ltd")),
         SCHEMAS["profit_month"], "profit_month")
 
 
+def month_with_profit(cm: DataFrame) -> DataFrame:
+    """``account_month`` with ``profit_ltd``, null in a month without a profit row."""
+    profit = F.when(F.col("profit_units").isNotNull(), _life_to_date("profit_units"))
+    return cm.select(*_month_columns(), profit.alias("profit_ltd"))
+
+
 def accounts(raw: dict[str, DataFrame]) -> DataFrame:
     orders = raw["orders"]
     return conform(
-        orders.where(F.col("o_custkey") % 97 != 5)
+        orders.where(F.col("o_orderstatus") == "F")
         .groupBy(F.col("o_custkey").alias("account_id"))
         .agg(F.min("o_orderdate").cast("date").alias("open_date")),
         SCHEMAS["accounts"], "accounts")
 
 
 def applications(raw: dict[str, DataFrame]) -> DataFrame:
+    """Status from the priority, risk level from the order's value, label from the nation."""
     orders, customer = raw["orders"], raw["customer"]
     prio = F.substring("o_orderpriority", 1, 1)
-    key = F.col("o_orderkey")
+    price, nation = F.col("o_totalprice"), F.col("c_nationkey")
     bureau = (F.when(prio.isin("1", "2"), "HIT")
               .when(prio == "3", "THIN FILE")
-              .when((prio == "5") & (key % 4 == 0), F.lit(None).cast("string"))
+              .when((prio == "5") & (price < 100_000), F.lit(None).cast("string"))
               .otherwise("NOHIT"))
-    nation = F.col("c_nationkey")
-    label = (F.when(nation % 4 == 0, " 1. bajo")
-             .when(nation % 4 == 1, "2. Medio ")
-             .when(nation % 4 == 2, "3. alto"))
+    label = (F.when(nation < 7, " 1. bajo")
+             .when(nation < 14, "2. Medio ")
+             .when(nation < 20, "3. alto"))
     return conform(
         orders.join(customer, orders.o_custkey == customer.c_custkey, "inner").select(
             F.col("o_custkey").alias("account_id"),
@@ -161,10 +167,8 @@ def applications(raw: dict[str, DataFrame]) -> DataFrame:
             F.when(F.col("o_orderstatus") == "P", OTHER_PRODUCT_CODE)
             .otherwise(PRODUCT_CODE).alias("org_code"),
             bureau.alias("bureau_hit"),
-            F.when(nation == 24, F.lit(None).cast(MONEY))
-            .otherwise(F.col("c_acctbal").cast(MONEY)).alias("income"),
-            F.when(key % 8 == 7, F.lit(None).cast("int"))
-            .otherwise((key % 8).cast("int")).alias("risk_level"),
+            F.when(nation != 24, F.col("c_acctbal").cast(MONEY)).alias("income"),
+            F.when(price < 420_000, F.floor(price / 60_000).cast("int")).alias("risk_level"),
             label.alias("risk_label"),
             F.col("c_mktsegment").alias("score_segment"),
         ), SCHEMAS["applications"], "applications")
@@ -200,6 +204,10 @@ class DerivedTables:
     def profit_month(self) -> DataFrame:
         return profit_month(self._customer_month)
 
+    @cached_property
+    def month_with_profit(self) -> DataFrame:
+        return month_with_profit(self._customer_month)
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
 

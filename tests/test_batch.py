@@ -36,34 +36,38 @@ def test_r8_with_other_year_floor_ignores_shared_profile(spark, tables_small):
           R.delinquency_what_if_target(tables_small, p).collect())
 
 
-def test_bucketed_profile_is_not_shuffled_for_joins(spark, tables_small):
-    """Without broadcasts, the join of applications to the bucketed profile
-    shuffles the applications side only."""
-    from linelift.plans.batch import materialise_profile
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        profile = materialise_profile(tables_small, DEFAULT, buckets=8)
-        df = R.limit_what_if_summary(tables_small, DEFAULT, profile=profile)
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        scan = [ln for ln in plan.splitlines() if "linelift_profile_" in ln or "Bucketed: true" in ln]
-        assert any("Bucketed: true" in ln for ln in scan), plan
-        batch = run_reports(tables_small, DEFAULT, ["limit_what_if_summary"], buckets=8)
-        _same(batch["limit_what_if_summary"].collect(),
-              R.limit_what_if_summary(tables_small, DEFAULT).collect())
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-
-
-def test_bucketed_profile_writes_one_file_per_bucket(spark, tables_small):
-    import glob
-    import uuid
-    from linelift.plans.batch import materialise_profile
-    from linelift.sources.warehouse import shared_path
-    path = shared_path(spark, f"profile-{uuid.uuid4().hex}")
-    materialise_profile(tables_small, DEFAULT, path=path, buckets=4)
-    files = glob.glob(f"{path}/*.parquet")
-    assert 0 < len(files) <= 4
+def test_profile_only_if_a_report_reads_it(spark, tables_small, monkeypatch):
+    from linelift.plans import batch
+
+    def no_profile(*_):
+        raise AssertionError("the profile was built")
+
+    monkeypatch.setattr(batch, "materialise_profile", no_profile)
+    alone = run_reports(tables_small, DEFAULT, ["application_volume_pivot"])
+    _same(alone["application_volume_pivot"].collect(),
+          R.application_volume_pivot(tables_small, DEFAULT).collect())
+    other = DEFAULT.with_(target_year_floor=1996)
+    assert list(run_reports(tables_small, other, ["delinquency_what_if_target"])) == [
+        "delinquency_what_if_target"]
+
+
+def test_nothing_is_left_behind(spark, tables_small, tmp_path):
+    import os
+
+    before = {r.tableName for r in spark.sql("show tables").collect()}
+    with run_reports(tables_small, DEFAULT, ["limit_what_if_summary"],
+                     profile_path=str(tmp_path / "profile")) as batch:
+        assert batch["limit_what_if_summary"].count() == 2
+        assert os.path.isdir(tmp_path / "profile")
+    assert not os.path.exists(tmp_path / "profile")
+    assert {r.tableName for r in spark.sql("show tables").collect()} == before
+
+
+def test_profile_holds_the_accounts_of_the_chosen_reports(spark, tables_small):
+    from linelift.plans.batch import profile_universe, shared_profile
+
+    names = ["limit_what_if_summary"]
+    small = shared_profile(tables_small, DEFAULT, profile_universe(tables_small, DEFAULT, names))
+    apps = R.window_applications(tables_small, DEFAULT, bureau_in=["HIT", "NOHIT"])
+    assert small.join(apps, "account_id", "left_anti").count() == 0
+    assert small.count() < shared_profile(tables_small, DEFAULT).count()

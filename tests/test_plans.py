@@ -26,9 +26,143 @@ def test_application_filters_reach_the_scan(tables_small):
     assert "PushedFilters: [IsNotNull(o_custkey), IsNotNull(o_orderdate), GreaterThan(o_custkey,0)" in text
 
 
-def test_r4_has_no_join_on_peer_keys_and_no_sort_aggregate(tables_small):
-    text = plan_text(R.delinquency_what_if_total(tables_small, DEFAULT))
+@pytest.fixture(scope="module")
+def stored(spark, tables_small, tmp_path_factory):
+    from linelift.sources.warehouse import read_tables, write_tables
+
+    path = str(tmp_path_factory.mktemp("stored"))
+    write_tables(tables_small, path)
+    return read_tables(spark, path)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Plans as for sides of any size."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    yield
+    for n, v in old.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_r4_has_no_join_on_peer_keys_and_no_sort_aggregate(stored):
+    text = plan_text(R.delinquency_what_if_total(stored, DEFAULT))
     assert "SortAggregate" not in text
     join_lines = [ln for ln in text.splitlines() if "Join" in ln]
     assert join_lines and not any("score_segment" in ln for ln in join_lines)
     assert "LeftOuter" in text  # months on book keeps month rows without an account row
+
+
+PROFILE_REPORTS = ("limit_band_distribution", "avg_limit_trend", "delinquency_what_if_total",
+                   "limit_what_if_summary", "risk_mix_by_band", "delinquency_what_if_target",
+                   "activation_by_band")
+
+
+def _depth(text: str, mark: str) -> int:
+    """How deep in the tree the first node with ``mark`` stands."""
+    line = next(ln for ln in text.splitlines() if mark in ln)
+    return len(line) - len(line.lstrip(" :+-*"))
+
+
+@pytest.mark.parametrize("name", PROFILE_REPORTS)
+def test_accounts_restrict_the_fact_before_the_dimension_joins(stored, no_broadcast, name):
+    text = plan_text(R.REPORTS[name](stored, DEFAULT))
+    assert _depth(text, "LeftSemi") > _depth(text, "LeftOuter")
+
+
+@pytest.mark.parametrize("name", [*PROFILE_REPORTS, "lroi_by_cohort"])
+def test_status_is_pushed_to_every_scan_of_the_applications(stored, no_broadcast, name):
+    text = plan_text(R.REPORTS[name](stored, DEFAULT))
+    scans = [ln for ln in text.splitlines() if "FileScan" in ln and "application_date" in ln]
+    assert len(scans) >= 2
+    for scan in scans:
+        pushed = scan.split("PushedFilters:")[1]
+        assert "bureau_hit" in pushed, scan
+
+
+def test_r1_scans_lineitem_once(tables_small, no_broadcast):
+    df = R.lroi_by_cohort(tables_small, DEFAULT)
+    df.collect()
+    text = plan_text(df).split("Initial Plan")[0]
+    assert len([ln for ln in text.splitlines() if "FileScan" in ln and "l_orderkey" in ln]) == 1
+    assert "shuffle_hash" not in text and "ShuffledHashJoin" not in text
+
+
+def test_shares_need_no_single_task(stored, no_broadcast):
+    text = plan_text(R.limit_band_distribution(stored, DEFAULT))
+    assert "Window" not in text
+
+
+def _rows_into_joins(df) -> int:
+    """The most rows of one account that enters a join with the per-account side."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    most = 0
+
+    def walk(n):
+        nonlocal most
+        name = n.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(n.executedPlan())
+        if "QueryStage" in name:
+            return walk(n.plan())
+        children = n.children()
+        for i in range(children.size()):
+            child = children.apply(i)
+            if "Join" in name:
+                most = max(most, _first_count(child))
+            walk(child)
+
+    def _first_count(n):
+        while True:
+            if "QueryStage" in n.nodeName():
+                n = n.plan()
+                continue
+            if n.nodeName() == "AdaptiveSparkPlan":
+                n = n.executedPlan()
+                continue
+            rows = n.metrics().get("numOutputRows")
+            if rows.isDefined():
+                return rows.get().value()
+            if n.children().size() != 1:
+                return 0
+            n = n.children().apply(0)
+
+    walk(node)
+    return most
+
+
+@pytest.mark.parametrize("name", PROFILE_REPORTS)
+def test_a_hot_account_meets_the_joins_collapsed(spark, no_broadcast, name):
+    """One account with 20,000 applications enters every join as a few rows."""
+    from fixtures import app, month, tables
+    from pyspark.sql import functions as F
+
+    few = tables(spark, [app(i, date="1995-04-01", hit="NOHIT") for i in range(1, 6)],
+                 [(i, "1995-01-15") for i in range(1, 6)],
+                 [month(i, 1995, m, limit=1000 * i, balance=10) for i in range(1, 6) for m in range(1, 12)])
+    hot = (spark.range(20_000).select(F.lit(1).alias("account_id"), (F.col("id") % 2).alias("odd"))
+           .join(few.applications.where("account_id = 1").drop("account_id")))
+    hot = hot.withColumn("bureau_hit", F.when(F.col("odd") == 1, "HIT").otherwise("NOHIT")).drop("odd")
+    from linelift.sources.schema import SCHEMAS, Tables, conform
+
+    apps = few.applications.unionByName(conform(
+        hot.withColumn("account_id", F.col("account_id").cast("long")), SCHEMAS["applications"]))
+    t = Tables(apps, few.accounts, few.account_month, few.profit_month)
+    assert _rows_into_joins(R.REPORTS[name](t, DEFAULT)) < 100
+
+
+def test_salted_join_deals_a_hot_key_and_keeps_every_row(spark, no_broadcast):
+    from linelift.operators.skew import salted_join
+    from pyspark.sql import functions as F
+
+    left = (spark.range(5000).select(F.lit(7).cast("long").alias("account_id"), "id")
+            .union(spark.range(100).select(F.col("id").alias("account_id"), "id")))
+    right = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (500, 4)], "account_id long, v long")
+    got = salted_join(left, right, share=4, salts=8)
+    want = left.join(right, "account_id")
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+    assert "_salt" in plan_text(got)
