@@ -12,7 +12,7 @@ import struct
 
 CACHED_BYTES = 64
 """Longer chunks are encoded each time and not kept."""
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 """Entries of each of the two generations of a worker's cache, so its memory is bounded."""
 
 # Any of these means that white space may touch white space, or that the text has
@@ -24,7 +24,15 @@ _CUT = re.compile("(?<=[^\\s᠎​‌‍⁠﻿])(?=[ \t\n\r\x0b\x0c])")
 
 # A run of letters and the marks after it are pre-tokens of their own (contractions start
 # with an apostrophe, which is left out).
-_WORD_MARKS = re.compile(rb"([A-Za-z]+)([!\"#$%&()*+,./:;=?@|~-]+)")
+_WORD_MARKS = re.compile(rb"([A-Za-z\x80-\xff]+)([!\"#$%&()*+,./:;=?@|~-]+)")
+
+
+def word_and_marks(chunk: bytes) -> tuple[bytes, bytes] | None:
+    """The letters and the marks of a chunk that is just that."""
+    m = _WORD_MARKS.fullmatch(chunk)
+    if m and (m[1].isascii() or m[1].decode().isalpha()):
+        return m[1], m[2]
+    return None
 
 
 def byte_bpe_chunks(data: bytes) -> list[bytes]:
@@ -57,6 +65,7 @@ class _Cache(dict):
     def __init__(self, tokenizer, frequent=()):
         super().__init__(frequent)
         self.tokenizer, self.frequent, self.old = tokenizer, frequent, {}
+        self.model = tokenizer.model
 
     def keep(self, key: bytes, value):
         if len(key) <= CACHED_BYTES:
@@ -74,8 +83,10 @@ class Counts(_Cache):
     def __missing__(self, key: bytes) -> int:
         n = self.old.get(key)
         if n is None:
-            if parts := _WORD_MARKS.fullmatch(key):
-                n = self[parts[1]] + self[b"\r" + parts[2]]
+            if parts := word_and_marks(key):
+                n = self[parts[0]] + self[b"\r" + parts[1]]
+            elif key.isalpha():  # a pre-token; the vocabulary writes its space as U+0120
+                n = len(self.model.tokenize("\u0120" + key.decode()))
             else:
                 n = len(self.tokenizer.encode(byte_bpe_text(key), add_special_tokens=False).ids)
         return self.keep(key, n)
@@ -91,14 +102,18 @@ class Ids(_Cache):
     def __missing__(self, word: bytes) -> bytes:
         packed = self.old.get(word)
         if packed is None:
-            if parts := _WORD_MARKS.fullmatch(word):
-                packed = self[parts[1]] + self[parts[2]]
+            if parts := word_and_marks(word):
+                packed = self[parts[0]] + self[parts[1]]
             else:
-                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+                # lower-case ASCII letters are a pre-token as they stand
+                ids = ([t.id for t in self.model.tokenize(word.decode())]
+                       if word.isalpha() and word.islower() else
+                       self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
                 packed = struct.pack(f"<{len(ids)}I", *ids)
         return self.keep(word, packed)
 
     def encode(self, data: bytes) -> bytes:
+        """The packed ids of a text."""
         # The vocabulary lower-cases after composing; doing it before is the same unless
         # a mark (U+0300 to U+036F) composes with a letter or a special string appears.
         if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
