@@ -20,12 +20,13 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (operator 3), fitted on the labels, accepts."""
     weights = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.scores(docs, weights, keep_above=QUALITY_THRESHOLD).select(*docs.columns)
+    scored = quality.scores(docs, weights, keep_above=QUALITY_THRESHOLD, column="_quality_score")
+    return scored.select(*docs.columns)
 
 
 def exact_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (operator 7)."""
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    return exact_dedup.keep_one(docs)
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ MARKED = "_dedup_marked"
 CODE_POINTS = "_dedup_code_points"
 COPIES = "_dedup_copies"
 ROW = "_dedup_row"
+KEEP_ID, SIZE, KEEP_ROW = "_dedup_keep_id", "_dedup_size", "_dedup_keep_row"
 
 
 class ContentTable:
@@ -204,25 +205,13 @@ def _classes(bucket_bytes: int):
 def _class_batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(out[0], pa.string()), *[pa.array(c, pa.int64()) for c in out[1:]]],
-        [DIGEST, "keep_id", "group_size", "_dedup_keep_row"])
+        [DIGEST, KEEP_ID, SIZE, KEEP_ROW])
 
 
-def exact_dedup(docs: DataFrame, *, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Groups of equal texts: every row of ``docs`` (doc_id, text, ...) with its group.
-
-    Adds keep_id (doc_id of the row that stays), group_size, kept and text_sha256 (lowercase
-    hex of the normal form in UTF-8); columns of these names in the input are
-    replaced. The row with the most code points in its original text stays, then the
-    smallest doc_id (null last), then the first row as read: exactly one row of a
-    group is kept, also among repeated rows.
-
-    A null text counts as empty, and all texts that are empty or only white space
-    form one group. An empty table gives no rows. Other columns pass through.
-    """
+def _groups(docs: DataFrame, bucket_bytes: int) -> DataFrame:
+    """``docs`` with ROW, DIGEST and its group's KEEP_ID, SIZE and KEEP_ROW."""
     need_columns(docs, "doc_id", "text")
     ship_package(docs.sparkSession)
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256", ROW, DIGEST, CODE_POINTS,
-                     MARKED, COPIES)
     schema = T.StructType(docs.schema.fields + [
         T.StructField(ROW, T.LongType()), T.StructField(DIGEST, T.StringType()),
         T.StructField(CODE_POINTS, T.LongType()), T.StructField(MARKED, T.BooleanType()),
@@ -232,9 +221,30 @@ def exact_dedup(docs: DataFrame, *, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     classes = (rows.where(MARKED)
                .select("text", DIGEST, COPIES, CODE_POINTS, "doc_id", ROW)
                .repartition(DIGEST)
-               .mapInArrow(_classes(bucket_bytes), f"{DIGEST} string, keep_id long, "
-                           "group_size long, _dedup_keep_row long"))
+               .mapInArrow(_classes(bucket_bytes),
+                           f"{DIGEST} string, {KEEP_ID} long, {SIZE} long, {KEEP_ROW} long"))
     classes = materialize(classes, "dedup-classes")
-    return (rows.drop(MARKED, CODE_POINTS, COPIES).join(classes, DIGEST)
-            .withColumn("kept", F.col(ROW) == F.col("_dedup_keep_row"))
-            .withColumnRenamed(DIGEST, "text_sha256").drop(ROW, "_dedup_keep_row"))
+    return rows.drop(MARKED, CODE_POINTS, COPIES).join(classes, DIGEST)
+
+
+def exact_dedup(docs: DataFrame, *, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Groups of equal texts: every row of ``docs`` (doc_id, text, ...) with its group.
+
+    Adds keep_id (doc_id of the row that stays), group_size, kept and text_sha256 (lowercase
+    hex of the normal form in UTF-8); columns of these names in the input are
+    replaced. The row with the most code points in its original text stays, then the
+    smallest doc_id (null last), then the first row as read: exactly one row of a
+    group is kept, also among repeated rows.
+
+    A null text counts as empty, and all texts that are empty or only white space
+    form one group. An empty table gives no rows. Other columns pass through.
+    """
+    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    return _groups(docs, bucket_bytes).select(
+        *docs.columns, F.col(KEEP_ID).alias("keep_id"), F.col(SIZE).alias("group_size"),
+        (F.col(ROW) == F.col(KEEP_ROW)).alias("kept"), F.col(DIGEST).alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, *, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, one per group of equal texts; columns as they are."""
+    return _groups(docs, bucket_bytes).where(F.col(ROW) == F.col(KEEP_ROW)).select(*docs.columns)

@@ -166,19 +166,20 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> np
     return weights
 
 
-def scores(docs: DataFrame, weights: np.ndarray, *, keep_above: float | None = None) -> DataFrame:
-    """``docs`` with a ``score`` from 0 to 1 (higher: label 1 is likelier) of each whole text.
+def scores(docs: DataFrame, weights: np.ndarray, *, keep_above: float | None = None,
+           column: str = "score") -> DataFrame:
+    """``docs`` with a score from 0 to 1 (higher: label 1 is likelier) of each whole text.
 
     A null or empty text has the bias alone. With ``keep_above``, rows with a lower score go.
-    A column named score is replaced; others pass through.
+    An input column named like ``column`` is replaced; others pass through.
     """
     need_columns(docs, "text")
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.drop("score")
+    docs = docs.drop(column)
     at = docs.columns.index("text")
     table = spark.sparkContext.broadcast(weights.astype(np.float32))
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = table.value
@@ -187,7 +188,7 @@ def scores(docs: DataFrame, weights: np.ndarray, *, keep_above: float | None = N
             values = [logistic(sparse_dot(w, text) + bias)
                       for text in batch.column(at).to_pylist()]
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())],
-                                             [*batch.schema.names, "score"])
+                                             [*batch.schema.names, column])
             if keep_above is not None:
                 out = out.filter(pa.array([v >= keep_above for v in values], pa.bool_()))
             yield out

@@ -95,3 +95,19 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
         os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_that_clash(spark, docs):
+    """Columns named like an operator's results pass through every stage unchanged."""
+    rows = [(1, "Some good text stands here, and it goes on."), (2, None), (None, "No id has this one at all."),
+            (4, "Some good  text stands here, and it goes on."), (4, "Other words, quite alone in the world.")]
+    names = "score kept keep_id group_size component_id n_shingles item_id lang source"
+    table = docs(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, SF)
+        assert table.columns == ["doc_id", "text", *names.split()], name
+        got = table.collect()
+        assert got and all(r[c] == "x" for r in got for c in names.split()), name
+    assert {r["doc_id"] for r in got} == {2, None, 4}
+    packed = corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
+    assert {p["doc_id"] for p in packed} == {2, None, 4}
