@@ -47,8 +47,15 @@ def need_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"input lacks the columns {missing}; it has {df.columns}")
 
 
+BATCH_BYTES = "8m"
+"""Bytes of rows that a Python worker is handed at a time, where the session says nothing."""
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let the Python workers import this package: send it once per Spark application."""
+    """Prepare Python workers: let them import this package (sent once per Spark application)
+    and bound their batches by bytes, since texts may be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_linelift_shipped", False):
         return

@@ -3,11 +3,11 @@
 Texts are equal when they are identical without the characters
 ``[\\x20\\x09-\\x0D]``. The stages:
 
-1. One pass gives every row a unique row_id and, per partition, the SHA-256 of its normal
-   form; a partition marks the best row of each of its distinct contents and counts
-   the copies. The rows go to a table in the shared folder.
-2. The marked rows alone (at most one per partition and content, so a hot content
-   is pre-aggregated) are dealt by hash. Each task runs a Grace hash aggregation:
+1. One pass gives every row a number and the SHA-256 of its normal form; of each batch of
+   rows it marks the best row of each distinct content and counts the copies. The
+   rows go to a table in the shared folder.
+2. The marked rows alone (at most one per batch and content, so a hot content is
+   pre-aggregated) are dealt by hash. Each task runs a Grace hash aggregation:
    records stream into an open-addressing table that compares complete content; contents
    that no longer fit go to spill files by the next bits of their hash, which are
    then worked through in turn, recursively.
@@ -134,7 +134,7 @@ def _read_spill(path: str) -> Iterator[tuple]:
 
 
 def _digests(text_at: int, doc_at: int):
-    """Adds row, digest, code points and the partition's marks to each batch."""
+    """Adds row, digest, code points and the batch's marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
