@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linelift.llm.common import need_columns, ship_package
+from linelift.llm.common import need_columns, ship_package, small
 from linelift.llm.shingles import ngram_hashes, word_hashes
 
 BLOCK_WORDS = 500_000
@@ -238,13 +238,6 @@ def _seed_blocks(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int
     return out
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Few texts at a time, so that a worker holds the words of few texts."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            yield batch.slice(start, 256)
-
-
 MATCHES = "doc_id long, item_id long, score double, n_hits int, start_word int"
 
 
@@ -267,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N,
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             block = table.value
             finder = _Finder(block.grams)
-            for batch in _small(batches):
+            for batch in small(batches, 256):
                 best: dict = {}
                 for row, item, score, start, hits in _matches(
                         block, finder, n, list(_document_words(batch, 1))):
@@ -301,7 +294,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_score: float
     for table in _seed_blocks(docs, benchmark, n, block_words):
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             finder = _Finder(table.value.grams)
-            for batch in _small(batches):
+            for batch in small(batches, 256):
                 dirty = {m[0] for m in _matches(table.value, finder, n,
                                                 list(_document_words(batch, text_at)))
                          if m[2] >= min_score}

@@ -185,8 +185,7 @@ def scores(docs: DataFrame, weights: np.ndarray, *, keep_above: float | None = N
         w = table.value
         bias = float(w[-1])
         for batch in batches:
-            values = [logistic(sparse_dot(w, text) + bias)
-                      for text in batch.column(at).to_pylist()]
+            values = [logistic(sparse_dot(w, text.as_py()) + bias) for text in batch.column(at)]
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())],
                                              [*batch.schema.names, column])
             if keep_above is not None:
