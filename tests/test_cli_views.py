@@ -8,7 +8,7 @@ from linelift.plans.params import DEFAULT
 from linelift.plans.views import register_views
 from linelift.sources.tpch import load_tables
 from linelift.sources.warehouse import shared_path
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 from oracle_compare import _close
 
 

@@ -9,7 +9,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_MEDIUM, SF_SMALL
+from fixtures import SF_MEDIUM, SF_SMALL
 from linelift.plans.catalog import QUERIES as CATALOG
 from oracle_compare import compare, duck_connect
 

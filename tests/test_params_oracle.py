@@ -11,7 +11,7 @@ from linelift.oracle import oracle_sql
 from linelift.plans.params import DEFAULT
 from linelift.plans.reports import REPORTS
 from linelift.sources.tpch import load_tables
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 from oracle_compare import compare, duck_connect
 
 

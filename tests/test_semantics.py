@@ -105,7 +105,7 @@ def test_oracle_has_its_own_constants():
     *[{"delinquency_levels": tuple((m, lv + (m == month)) for m, lv in DEFAULT.delinquency_levels)}
       for month in (2, 3, 6, 9, 12)]])
 def test_a_wrong_constant_shows(spark, tables_small, change):
-    from conftest import SF_SMALL
+    from fixtures import SF_SMALL
     from linelift.plans.catalog import QUERIES
     from oracle_compare import compare, duck_connect
 

@@ -4,7 +4,7 @@ honour the model's keys (which the batch mode and the R4 rewrite rely on)."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MEDIUM, SF_SMALL
+from fixtures import SF_MEDIUM, SF_SMALL
 from linelift.sources.schema import check_keys
 from linelift.sources.tpch import load_tables
 
