@@ -1,14 +1,10 @@
 import os
-import random
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-TOKENIZERS = "/opt/tokenizers"
-
-
 @pytest.fixture(scope="session")
 def docs(spark):
     """docs(rows, extra): rows of (doc_id, text), with columns that clash with results."""
@@ -18,11 +14,3 @@ def docs(spark):
         return spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], schema)
 
     return make
-
-
-def random_text(rng: random.Random, n: int, vocabulary: int = 400) -> list[str]:
-    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
-
-
-EDGE_TEXTS = [None, "", " \n\t ", "one", "two words", "ünïcödé ﬁ 🙂 한국어", "a" * 5000,
-              " ".join(["very"] * 3000 + ["long"] * 3000), "<|endoftext|> x", " nbsp "]

@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest import EDGE_TEXTS
+from llm_helpers import EDGE_TEXTS
 
 from linelift.llm import exact_dedup
 from linelift.llm.exact_dedup import grace_classes

@@ -5,7 +5,7 @@ import struct
 import zlib
 
 import pytest
-from conftest import EDGE_TEXTS, TOKENIZERS
+from llm_helpers import EDGE_TEXTS, TOKENIZERS
 from tokenizers import Tokenizer
 
 from linelift.llm import packing, token_counts

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import EDGE_TEXTS, random_text
+from llm_helpers import EDGE_TEXTS, random_text
 
 from linelift.llm import decontaminate as D
 from linelift.llm import quality as Q

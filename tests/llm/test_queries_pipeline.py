@@ -4,7 +4,7 @@ import struct
 import zlib
 
 import pytest
-from conftest import TOKENIZERS
+from llm_helpers import TOKENIZERS
 from oracle_compare import compare, duck_connect
 from test_exact_dedup import normal
 from test_jaccard_join import brute

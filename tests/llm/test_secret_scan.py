@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from conftest import EDGE_TEXTS
+from llm_helpers import EDGE_TEXTS
 
 from linelift.llm import secret_scan
 from linelift.llm.secret_scan import RULES, Rule
