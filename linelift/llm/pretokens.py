@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 
 CACHED_BYTES = 64
 """Longer chunks are encoded each time and not kept."""
@@ -35,6 +36,12 @@ def word_and_marks(chunk: bytes) -> tuple[bytes, bytes] | None:
     return None
 
 
+def stays_letters(word: bytes) -> bool:
+    """Whether composing and lower-casing the letters leaves nothing but letters. A combining
+    mark that they leave at the end would join the marks that follow."""
+    return word.isascii() or unicodedata.normalize("NFC", word.decode()).lower().isalpha()
+
+
 def byte_bpe_chunks(data: bytes) -> list[bytes]:
     """Chunks of a text for the byte-level vocabulary (its words take one space before them).
 
@@ -102,7 +109,7 @@ class Ids(_Cache):
     def __missing__(self, word: bytes) -> bytes:
         packed = self.old.get(word)
         if packed is None:
-            if parts := word_and_marks(word):
+            if (parts := word_and_marks(word)) and stays_letters(parts[0]):
                 packed = self[parts[0]] + self[parts[1]]
             else:
                 # lower-case ASCII letters are a pre-token as they stand

@@ -33,6 +33,26 @@ def test_chunks_have_the_ids_of_their_text():
         assert sum(counts[c] for c in byte_bpe_chunks(text.encode())) == n, text
 
 
+def test_every_letter_before_marks():
+    word = Tokenizer.from_file(WORD)
+    ids = Ids(word)
+    texts = [c + "!" for c in map(chr, range(0x110000)) if c.isalpha() and c < "\U00003400"
+             or "\uf900" <= c <= "\uffff" and c.isalpha() or "\U00010000" <= c < "\U00017000" and c.isalpha()]
+    texts += ["TEŞEKKÜRLERİ!", "ड़!", "שׁ,"]
+    for text, found in zip(texts, word.encode_batch(texts, add_special_tokens=False)):
+        assert ids.encode(text.encode()) == struct.pack(f"<{len(found.ids)}I", *found.ids), text
+
+
+def test_random_strings_of_all_scripts():
+    word = Tokenizer.from_file(WORD)
+    ids, rng = Ids(word), random.Random(8)
+    letters = [chr(c) for c in range(0x3000) if chr(c).isprintable()]
+    texts = ["".join(rng.choice(letters) if rng.random() < 0.6 else rng.choice("! .,aZ'") for _ in range(12))
+             for _ in range(20_000)]
+    for text, found in zip(texts, word.encode_batch(texts, add_special_tokens=False)):
+        assert ids.encode(text.encode()) == struct.pack(f"<{len(found.ids)}I", *found.ids), text
+
+
 def test_caches_stay_bounded(monkeypatch):
     from linelift.llm import pretokens
 
