@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelift.llm import (chat, decontaminate, exact_dedup, html_text, jaccard_join, packing,
+from linelift.llm import (bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, packing,
                           quality, secret_scan, sharding, token_counts)
 from linelift.llm.common import read_table
 
@@ -22,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Fixed value: how the byte-level vocabulary splits a text before its merges.
+BPE_PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -77,6 +81,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
                         tokenizer=tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"),
+                          ranks=tokenizer_path("byte_bpe_50k.tiktoken"), pattern=BPE_PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +94,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_extendible_shards, op3_quality, op4_chat_format, op5_token_counts,
-    op6_secret_scan, op7_grace_dedup, op8_html_text, op9_decontaminate, op10_pack, pipeline)}
+    op6_secret_scan, op7_grace_dedup, op8_html_text, op9_decontaminate, op10_pack,
+    op11_byte_bpe, pipeline)}
 
 SHARD_BYTES = sharding.LIMIT_BYTES
 
