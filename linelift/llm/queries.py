@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linelift.llm import (bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, packing,
-                          quality, secret_scan, sharding, token_counts)
+                          quality, secret_scan, sharding, token_counts, whitening)
 from linelift.llm.common import read_table
 
 
@@ -86,6 +86,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           ranks=tokenizer_path("byte_bpe_50k.tiktoken"), pattern=BPE_PATTERN)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=8)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_extendible_shards, op3_quality, op4_chat_format, op5_token_counts,
     op6_secret_scan, op7_grace_dedup, op8_html_text, op9_decontaminate, op10_pack,
-    op11_byte_bpe, pipeline)}
+    op11_byte_bpe, op12_whitening, pipeline)}
 
 SHARD_BYTES = sharding.LIMIT_BYTES
 
