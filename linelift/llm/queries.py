@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelift.llm import (bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, packing,
-                          quality, secret_scan, sharding, token_counts, whitening)
+from linelift.llm import (bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join,
+                          lexical_search, packing, quality, secret_scan, sharding, token_counts, whitening)
 from linelift.llm.common import read_table
 
 
@@ -91,6 +91,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(read_table(spark, sf_dir, "documents"),
+                                        read_table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_extendible_shards, op3_quality, op4_chat_format, op5_token_counts,
     op6_secret_scan, op7_grace_dedup, op8_html_text, op9_decontaminate, op10_pack,
-    op11_byte_bpe, op12_whitening, pipeline)}
+    op11_byte_bpe, op12_whitening, op13_ranked_search, pipeline)}
 
 SHARD_BYTES = sharding.LIMIT_BYTES
 
@@ -184,9 +189,28 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+_TERMS = ("unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term")
+
+_SEARCH_SQL = f"""
+WITH t AS (SELECT doc_id, {_TERMS} FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT doc_id, sum(tf)::BIGINT AS words FROM f GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(words)::BIGINT AS total FROM s),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM f, c GROUP BY term, docs),
+r AS (SELECT item_id, doc_id,
+             sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * words * docs) // total))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN s USING (doc_id), c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLE_SQL = {
     "op2_extendible_shards": _SHARD_SQL,
     "op4_chat_format": _CHAT_SQL,
     "op6_secret_scan": _SECRETS_SQL,
     "op7_grace_dedup": _DEDUP_SQL,
+    "op13_ranked_search": _SEARCH_SQL,
 }

@@ -23,7 +23,7 @@ def test_query_matches_its_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"] == list(range(1, 13))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"] == list(range(1, 14))
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
