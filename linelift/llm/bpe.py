@@ -126,11 +126,10 @@ class Words:
 
         self.pattern = regex.compile(pattern)
         self.classes = library_classes()
-        self.odd = regex.compile("[%s]" % "".join(map(regex.escape, map(chr, self.classes)))) \
-            if self.classes else None
+        self.odd = frozenset(map(chr, self.classes))
 
     def __call__(self, text: str) -> Iterator[str]:
-        if self.odd is None or text.isascii() or not self.odd.search(text):
+        if text.isascii() or self.odd.isdisjoint(text):
             return (m[0] for m in self.pattern.finditer(text))
         same = text.translate(self.classes)  # as many characters, so the spans fit
         return (text[m.start():m.end()] for m in self.pattern.finditer(same))
@@ -145,6 +144,8 @@ class Database:
         self.ranks = ranks
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DATABASE_MEMORY})
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.known = np.zeros(max(ranks.values()) + 1, bool)
+        self.known[list(ranks.values())] = True
         left, right, new = [], [], []
         self.touching = np.zeros(1 << 16, bool)
         for token, rank in ranks.items():
@@ -245,10 +246,11 @@ class Database:
                     out[rows[at][0]].append(data)
             rows, size = [], 0
 
-        known = np.fromiter(self.ranks.values(), np.int64)
         for doc, ids in enumerate(docs):
-            if len(unknown := np.setdiff1d(ids, known)):
-                raise ValueError(f"ids that the vocabulary lacks: {unknown[:5].tolist()}")
+            known = (ids >= 0) & (ids < len(self.known))
+            known[known] = self.known[ids[known]]
+            if not known.all():
+                raise ValueError(f"ids that the vocabulary lacks: {ids[~known][:5].tolist()}")
             for at in range(0, len(ids), BLOCK_IDS):
                 part = ids[at:at + BLOCK_IDS]
                 rows.append((doc, part))
