@@ -129,7 +129,10 @@ class Words:
         self.odd = frozenset(map(chr, self.classes))
 
     def __call__(self, text: str) -> Iterator[str]:
+        """The words of a text, one after the other where it is long."""
         if text.isascii() or self.odd.isdisjoint(text):
+            if len(text) <= BLOCK_WORDS:
+                return iter(self.pattern.findall(text))
             return (m[0] for m in self.pattern.finditer(text))
         same = text.translate(self.classes)  # as many characters, so the spans fit
         return (text[m.start():m.end()] for m in self.pattern.finditer(same))
