@@ -27,7 +27,8 @@ from linelift.operators.profiles import (activation_flag, milestone_delinquency,
 from linelift.plans import reports as R
 from linelift.plans.params import DEFAULT, Params
 from linelift.sources.schema import TableSource
-from linelift.sources.warehouse import shared_path
+from linelift.sources.warehouse import (default_buckets, delete_folder, open_bucketed, shared_path,
+                                        write_bucketed)
 
 # The windows whose accounts a report keeps: (from, to, bureau statuses) by parameter name.
 _WINDOW = ("window_from", "window_to")
@@ -79,15 +80,16 @@ class ReportBatch(dict):
     """Report name -> DataFrame. ``close`` (or leaving a ``with`` block) deletes the
     stored profile; the reports cannot be read any more then."""
 
-    def __init__(self, reports: dict[str, DataFrame], profile_path: str | None = None):
+    def __init__(self, reports: dict[str, DataFrame], profile_path: str | None = None,
+                 profile_table: str | None = None):
         super().__init__(reports)
-        self.profile_path = profile_path
+        self.profile_path, self.profile_table = profile_path, profile_table
 
     def close(self) -> None:
         if self.profile_path and self:
-            sc = next(iter(self.values())).sparkSession.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(self.profile_path)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            spark = next(iter(self.values())).sparkSession
+            spark.sql(f"DROP TABLE IF EXISTS {self.profile_table}")
+            delete_folder(spark, self.profile_path)
         self.profile_path = None
 
     def __enter__(self) -> "ReportBatch":
@@ -98,14 +100,18 @@ class ReportBatch(dict):
 
 
 def materialise_profile(t: TableSource, p: Params = DEFAULT, path: str | None = None,
-                        universe: DataFrame | None = None) -> tuple[DataFrame, str]:
-    """Write the shared profile to ``path`` (default: a new folder under the
-    shared checkpoint directory); it read back from there, and the path."""
+                        universe: DataFrame | None = None) -> tuple[DataFrame, str, str]:
+    """Write the shared profile, bucketed by account, to ``path`` (default: a new folder
+    under the shared checkpoint directory); it read back from there, the path, and the name of
+    the catalog's table. The reports join collapsed applications to its buckets, so the
+    profile is not shuffled again by any of them."""
     profile = shared_profile(t, p, universe)
     spark = profile.sparkSession
-    path = path or shared_path(spark, f"linelift_profile_{uuid.uuid4().hex}")
-    profile.write.mode("overwrite").parquet(path)
-    return spark.read.schema(profile.schema).parquet(path), path
+    name = f"linelift_profile_{uuid.uuid4().hex}"
+    path = path or shared_path(spark, name)
+    buckets = getattr(t, "account_buckets", None) or default_buckets(spark)
+    write_bucketed(profile, path, buckets)
+    return open_bucketed(spark, path, profile.schema, buckets, name), path, name
 
 
 def run_reports(t: TableSource, p: Params = DEFAULT, names: list[str] | None = None,
@@ -120,6 +126,6 @@ def run_reports(t: TableSource, p: Params = DEFAULT, names: list[str] | None = N
     shared = readers(names, p)
     if not shared:
         return ReportBatch({n: R.REPORTS[n](t, p) for n in names})
-    profile, path = materialise_profile(t, p, profile_path, profile_universe(t, p, shared))
+    profile, path, table = materialise_profile(t, p, profile_path, profile_universe(t, p, shared))
     return ReportBatch({n: R.REPORTS[n](t, p, profile=profile if n in shared else None)
-                        for n in names}, path)
+                        for n in names}, path, table)

@@ -318,11 +318,13 @@ def activation_detail(t: TableSource, p: Params, universe: DataFrame | None = No
 
     First the latest first-purchase date per account-month (and limit), then each
     month's date against the opening date. Both aggregations group by account_id
-    first, so the fact is hash partitioned by account_id once and both, and the
-    joins before them, run without another exchange.
+    first, so the fact is hash partitioned by account_id once (stored in buckets, it is
+    already) and both, and the joins before them, run without another exchange.
     """
     months = open_account_months(t.account_month, info_type=p.info_type, year_floor=p.year_floor,
-                                 excluded_statuses=p.closed_statuses).repartition("account_id")
+                                 excluded_statuses=p.closed_statuses)
+    if getattr(t, "account_buckets", None) is None:
+        months = months.repartition("account_id")
     fact = months_on_book(restrict(months, universe), t.accounts)
     monthly = (fact.groupBy("account_id", "credit_limit", "open_date", "yr", "mo", "mob")
                .agg(F.max("first_purchase_date").alias("first_purchase_date")))
