@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -32,11 +33,11 @@ from linelift.llm.common import need_columns, ship_package
 
 CACHED_CHARS = 64
 """Longer words are encoded each time and not kept."""
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 600_000
 """Words in each of the two generations of a worker's cache."""
 BLOCK_WORDS = 500_000
 """Words that are looked up at a time."""
-QUERY_BYTES = 1 << 18
+QUERY_BYTES = 1 << 17
 """Bytes of short words that one query contracts."""
 LONG_BYTES = 256
 """Longer words (after the cuts) go to the query for long ones, one at a time."""
@@ -44,25 +45,26 @@ BLOCK_IDS = 1 << 20
 """Ids that one query decodes."""
 DATABASE_MEMORY = "400MB"
 
-# One pair of each word in a round. A row knows the position (next) and the token (follower) of
-# the row after it; ``step`` makes every row of a live word new, so that it is read again.
+# One pair of each word in a round. Positions count through all words. A row knows the position
+# (next) and the token (follower) of the row after it; ``step`` makes every row of a live word
+# new, so that it is read again.
 _SHORT = """
-WITH RECURSIVE tokens(word, pos, id, next, follower, step) USING KEY (word, pos) AS (
-  SELECT word, pos, id, next, follower, 0 FROM bytes_of_words
+WITH RECURSIVE tokens(pos, word, id, next, follower, step) USING KEY (pos) AS (
+  SELECT pos, word, id, next, follower, 0 FROM bytes_of_words
   UNION
-  (WITH live AS (SELECT word, pos, id, next, follower, step FROM tokens WHERE id IS NOT NULL),
+  (WITH live AS (SELECT pos, word, id, next, follower, step FROM tokens WHERE id IS NOT NULL),
    least AS (
-     SELECT word, min(new::BIGINT << 32 | pos) AS pair, arg_min(next, new::BIGINT << 32 | pos) AS gone
+     SELECT word, min(new::BIGINT << 32 | pos) AS pair
      FROM live JOIN merges ON l = id AND r = follower GROUP BY word),
    chosen AS (
-     SELECT p.word, (pair >> 32)::INTEGER AS new, (pair & 4294967295)::INTEGER AS at, gone, q.next, q.follower
-     FROM least p JOIN live q ON q.word = p.word AND q.pos = p.gone)
-   SELECT t.word, t.pos, CASE WHEN t.pos = c.at THEN c.new WHEN t.pos <> c.gone THEN t.id END,
+     SELECT p.word, (pair >> 32)::INTEGER AS new, a.pos AS at, a.next AS gone, b.next, b.follower
+     FROM least p JOIN live a ON a.pos = (pair & 4294967295)::INTEGER JOIN live b ON b.pos = a.next)
+   SELECT t.pos, t.word, CASE WHEN t.pos = c.at THEN c.new WHEN t.pos <> c.gone THEN t.id END,
           CASE WHEN t.pos = c.at THEN c.next ELSE t.next END,
           CASE WHEN t.pos = c.at THEN c.follower WHEN t.next = c.at THEN c.new ELSE t.follower END,
           t.step + 1
    FROM live t JOIN chosen c ON c.word = t.word))
-SELECT word, id FROM tokens WHERE id IS NOT NULL ORDER BY word, pos
+SELECT word, id FROM tokens WHERE id IS NOT NULL ORDER BY pos
 """
 
 # All occurrences of the pair of minimum rank; of overlapping ones the first, third, ... of a run.
@@ -118,22 +120,33 @@ def library_classes() -> dict[int, str]:
     return out
 
 
+def ascii_pattern(pattern: str) -> re.Pattern:
+    """The same pattern for texts of ASCII characters alone."""
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        inside = part == "[" or inside and part != "]"
+        members = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}.get(part)
+        out.append(part if members is None else members if inside else f"[{members}]")
+    return re.compile("".join(out), re.ASCII)
+
+
 class Words:
     """Cuts texts into words as the library does with the same pattern."""
 
     def __init__(self, pattern: str):
         import regex
 
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.ascii = regex.compile(pattern), ascii_pattern(pattern)
         self.classes = library_classes()
         self.odd = frozenset(map(chr, self.classes))
 
     def __call__(self, text: str) -> Iterator[str]:
         """The words of a text, one after the other where it is long."""
-        if text.isascii() or self.odd.isdisjoint(text):
+        pattern = self.ascii if text.isascii() else self.pattern
+        if pattern is self.ascii or self.odd.isdisjoint(text):
             if len(text) <= BLOCK_WORDS:
-                return iter(self.pattern.findall(text))
-            return (m[0] for m in self.pattern.finditer(text))
+                return iter(pattern.findall(text))
+            return (m[0] for m in pattern.finditer(text))
         same = text.translate(self.classes)  # as many characters, so the spans fit
         return (text[m.start():m.end()] for m in self.pattern.finditer(same))
 
@@ -188,7 +201,7 @@ class Database:
         sizes = np.array([len(w) for w in words])
         ends = np.cumsum(sizes)
         number = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+        pos = np.arange(ends[-1], dtype=np.int32)
         ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         last = np.zeros(len(ids), bool)
         last[ends - 1] = True
@@ -243,7 +256,7 @@ class Database:
                 ids = np.concatenate([part for _, part in rows])
                 table = pa.table({
                     "doc": np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for _, p in rows]),
-                    "pos": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int64)})
+                    "pos": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32)})
                 found = self._run("ids", table, _DECODE)
                 for at, data in zip(found["doc"].to_pylist(), found["bytes"].to_pylist()):
                     out[rows[at][0]].append(data)
@@ -276,7 +289,7 @@ class Encoder:
     def _block(self, words: list[str]) -> Iterable[bytes]:
         missing = set(words).difference(self.young)
         known = {w: self.old[w] for w in missing if w in self.old}
-        new = sorted(missing.difference(known))
+        new = sorted(missing.difference(known), key=len)  # words of a query need alike many rounds
         self.young.update(known)
         self.young.update(zip(new, self.database.encode_words([w.encode() for w in new])))
         found = list(map(self.young.__getitem__, words))
