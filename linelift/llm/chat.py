@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from linelift.llm.common import need_columns
+from linelift.llm.native import bound, running_sums
 
 ESCAPE = "\\"
 OTHER = ""
@@ -123,33 +124,26 @@ def format_conversations(turns: DataFrame, template: Template = LLAMA_LIKE) -> D
                                                        "inside"))).alias("turns"),
                   F.min("valid").alias("valid"),
                   F.max(F.struct("position", "role")).alias("last")))
-    spans = F.aggregate(
-        "turns", F.struct(F.lit(0).cast("long").alias("at"),
-                          F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["piece"])).alias("at"),
-            F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + t["before"]).alias("start"),
-                (acc["at"] + t["before"] + t["inside"]).alias("end")))))
-            .otherwise(acc["spans"]).alias("spans")))
+    sizes = F.transform("turns", lambda t: F.length(t["piece"]).cast("bigint"))
+    spans = bound(running_sums(sizes), lambda starts: F.filter(F.transform("turns", lambda t, i: F.when(
+        t["loss"], F.struct((F.get(starts, i) + t["before"]).alias("start"),
+                            (F.get(starts, i) + t["before"] + t["inside"]).alias("end")))),
+        lambda span: span.isNotNull()))
     blocks = blocks.select("conv_id", "block", "valid", "last",
                            F.array_join(F.col("turns.piece"), "").alias("piece"),
+                           F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("size"),
                            spans.alias("spans"))
     whole = blocks.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("block", "piece", "spans"))).alias("blocks"),
+        F.sort_array(F.collect_list(F.struct("block", "piece", "size", "spans"))).alias("blocks"),
         F.min("valid").alias("valid"), F.max("last").alias("last"))
     begin = len(template.begin)
-    moved = F.aggregate(
-        "blocks", F.struct(F.lit(begin).cast("long").alias("at"),
-                           F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, b: F.struct(
-            (acc["at"] + b["spans"]["at"]).alias("at"),
-            F.concat(acc["spans"], F.transform(b["spans"]["spans"], lambda s: F.struct(
-                (acc["at"] + s["start"]).alias("start"), (acc["at"] + s["end"]).alias("end"))))
-            .alias("spans")))
+    moved = bound(running_sums(F.transform("blocks", lambda b: b["size"])), lambda starts: F.flatten(
+        F.transform("blocks", lambda b, i: F.transform(b["spans"], lambda s: F.struct(
+            (F.get(starts, i) + begin + s["start"]).alias("start"),
+            (F.get(starts, i) + begin + s["end"]).alias("end"))))))
     return whole.select(
         "conv_id", F.concat(F.lit(template.begin), F.array_join("blocks.piece", ""))
-        .alias("formatted"), moved["spans"].alias("loss_spans"),
+        .alias("formatted"), moved.alias("loss_spans"),
         (F.col("valid") & F.col("last.role").isin(*template.final)).alias("valid"))
 
 
@@ -160,8 +154,9 @@ def _quoted(mark: str) -> str:
 def read_back(formatted: DataFrame, template: Template = LLAMA_LIKE) -> DataFrame:
     """The turns of each formatted conversation, read from its string alone.
 
-    Adds ``turns`` (array of (role, text), unescaped) and ``loss_text`` (the text under
-    the loss mask, unescaped).
+    Adds ``turns`` (array of (role, text), unescaped) and ``loss_text`` (the text of the roles under
+    the loss mask, unescaped; what ``loss_spans`` cover). The string is split once, so the work grows
+    with its length alone.
     """
     opens = "|".join(_quoted(m.before) for m in template.roles.values())
     body = F.expr(f"substring(formatted, {len(template.begin) + 1})")
@@ -183,10 +178,17 @@ def read_back(formatted: DataFrame, template: Template = LLAMA_LIKE) -> DataFram
                              ).otherwise(out)
         return out
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(
-        (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return (formatted.withColumn("turns", F.transform(pieces, turn))
-            .withColumn("loss_text", F.array_join(loss, "")))
+    lossy = [name for name, m in template.roles.items() if m.loss and name != OTHER]
+    plain = [name for name, m in template.roles.items() if not m.loss and name != OTHER]
+
+    def has_loss(turn: Column) -> Column:
+        if template.roles[OTHER].loss:
+            return ~turn["role"].isin(*plain)
+        return turn["role"].isin(*lossy)
+
+    back = formatted.withColumn("turns", F.transform(pieces, turn))
+    return back.withColumn("loss_text", F.array_join(F.transform(
+        F.filter("turns", has_loss), lambda t: t["text"]), ""))
 
 
 def conversation_digests(formatted: DataFrame, template: Template = LLAMA_LIKE) -> DataFrame:

@@ -107,7 +107,7 @@ QUERIES = {f.__name__: f for f in (
     op6_secret_scan, op7_grace_dedup, op8_html_text, op9_decontaminate, op10_pack,
     op11_byte_bpe, op12_whitening, op13_ranked_search, pipeline)}
 
-SHARD_BYTES = sharding.LIMIT_BYTES
+SHARD_BYTES = 1 << 20
 
 _SHARD_SQL = f"""
 WITH d AS (

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelift.llm.common import materialize, need_columns
+from linelift.llm.native import free_names
 
 LEVEL_BITS = 12
 """Bits per level: the first level's directory has 4,096 entries at most."""
@@ -57,30 +58,30 @@ def extendible_shards(rows: DataFrame, *, key: str = "doc_id", size: str = "n_by
     """
     need_columns(rows, key, size)
     added = ("shard", "depth", "shard_bytes", "shard_rows")
-    rows = rows.drop(*added, "_bits", "_size", "_at")
+    kept = rows.drop(*added) if not {key, size} & set(added) else rows
+    passed = [c for c in rows.columns if c not in added]
+    bits, length, at, entry_prefix, found = free_names(kept, "bits", "size", "at", "prefix", "found")
     table = materialize(
-        rows.withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_bits", F.concat(hash_bits(F.col(key)), hash_bits(F.col("_row"))))
-        .withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
-        .drop("_row"), "shards")
+        kept.withColumn(bits, F.concat(hash_bits(F.col(key)), hash_bits(F.monotonically_increasing_id())))
+        .withColumn(length, F.coalesce(F.col(size).cast("long"), F.lit(0))), "shards")
     assigned, todo, done, large = table, table, 0, True
     while large and done < 2 * KEY_BITS:
-        prefix = F.substring("_bits", 1, done + LEVEL_BITS)
+        prefix = F.substring(bits, 1, done + LEVEL_BITS)
         cells = (todo.groupBy(prefix.alias("prefix"))
-                 .agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
+                 .agg(F.sum(length).alias("bytes"), F.count(F.lit(1)).alias("rows")))
         level = materialize(_directory(cells, done, limit), "directory")
-        found = F.when(F.col("shard").isNotNull(), F.struct(*added))
-        entry = level.select(F.col("prefix").alias("_prefix"), found.alias("_found"))
+        entry = level.select(F.col("prefix").alias(entry_prefix),
+                             F.when(F.col("shard").isNotNull(), F.struct(*added)).alias(found))
         if done == 0:  # 2 ** LEVEL_BITS entries at most
             entry = F.broadcast(entry)
-        at = F.col("_found") if done == 0 else F.coalesce("_at", "_found")
-        assigned = (assigned.join(entry, prefix == F.col("_prefix"), "left")
-                    .withColumn("_at", at).drop("_prefix", "_found"))
+        place = F.col(found) if done == 0 else F.coalesce(at, found)
+        assigned = (assigned.join(entry, prefix == F.col(entry_prefix), "left")
+                    .withColumn(at, place).drop(entry_prefix, found))
         done += LEVEL_BITS
-        split = level.where(F.col("shard").isNull()).select("prefix")
+        split = level.where(F.col("shard").isNull()).select(F.col("prefix").alias(entry_prefix))
         large = not split.isEmpty()
-        todo = todo.join(split, prefix == F.col("prefix"), "left_semi")
-    return assigned.select(*rows.columns, *[F.col(f"_at.{c}").alias(c) for c in added])
+        todo = todo.join(split, prefix == F.col(entry_prefix), "left_semi")
+    return assigned.select(*passed, *[F.col(at)[c].alias(c) for c in added])
 
 
 def write_shards(rows: DataFrame, path: str, **kw) -> None:

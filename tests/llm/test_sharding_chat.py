@@ -119,3 +119,54 @@ def test_segments(spark):
 def test_no_conversations(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.conversation_digests(chat.format_conversations(turns)).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = "bits size at prefix found _row _prefix _found _bits _size _at cells row depth_"
+    rows = [(i, 10, *["x"] * len(names.split())) for i in range(60)]
+    schema = "doc_id long, n_bytes long, " + ", ".join(f"{n} string" for n in names.split())
+    got = sharding.extendible_shards(spark.createDataFrame(rows, schema), limit=100)
+    assert got.columns == ["doc_id", "n_bytes", *names.split(), "shard", "depth", "shard_bytes", "shard_rows"]
+    assert {r["_at"] + r["bits"] + r["prefix"] for r in got.collect()} == {"xxx"} and got.count() == 60
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from linelift.llm.native import running_sums
+
+    rows = [([],), ([5],), (list(range(255)),), (list(range(256)),), (list(range(257)),), ([3] * 100_000,), (None,)]
+    got = spark.createDataFrame(rows, "v array<bigint>").select("v", running_sums(F.col("v")).alias("s")).collect()
+    for r in got:
+        want, at = [], 0
+        for x in r["v"] or []:
+            want.append(at)
+            at += x
+        assert r["s"] == want
+
+
+def test_loss_spans_cover_the_loss_text(spark):
+    rng = random.Random(12)
+    rows = [(c, i, rng.choice(["user", "assistant", "system", "tool", None]), rng.choice(["a<[\\b", "é🙂", "", None]))
+            for c in range(4) for i in range([3, 256, 257, 700][c])]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in chat.read_back(made).collect():
+        inside = "".join(r["formatted"][s:e] for s, e in r["loss_spans"])
+        assert re.sub(r"([\\<\[])\\", r"\1", inside) == r["loss_text"]
+        assert r["loss_text"] == "".join(t or "" for c, _, role, t in rows if c == r["conv_id"] and role == "assistant")
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role",
+                                          "concat('text [', id) AS text")
+        t = time.time()
+        row = chat.conversation_digests(chat.format_conversations(turns)).first()
+        assert row["n_turns"] == n and row["valid"]
+        return time.time() - t
+
+    seconds(100)
+    few = seconds(6000)
+    assert seconds(48_000) < 16 * few + 5
