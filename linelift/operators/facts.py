@@ -61,12 +61,19 @@ def is_open(info_type: int, excluded_statuses: Sequence[str] = CLOSED_STATUSES)
     return (F.col("info_type") == info_type) & ~F.col("status_code").isin(*excluded_statuses)
 
 
+def accounts_repeat(accounts: DataFrame) -> bool:
+    """Whether an account has several rows: one distributed aggregation, one row to the driver."""
+    rows = accounts.where(F.col("account_id").isNotNull()).groupBy("account_id").agg(
+        F.count(F.lit(1)).alias("n"))
+    return not rows.where(F.col("n") > 1).isEmpty()
+
+
 def unique_accounts(accounts: DataFrame) -> DataFrame:
     """``accounts``, failing when an account has several rows.
 
-    The reports carry per-account aggregates along instead of joining them back
-    as often as the source does, which is the same only for unique accounts. The
-    check is part of the plan: its aggregate is partitioned like the join above it.
+    Where the accounts are known to be unique, the reports carry per-account aggregates along
+    instead of joining them back as often as the source does. This guards the
+    knowledge as part of the plan: its aggregate is partitioned like the join above it.
     """
     several = F.raise_error(F.concat(F.lit("accounts has several rows for account_id "),
                                      F.col("account_id").cast("string")))
@@ -76,14 +83,18 @@ def unique_accounts(accounts: DataFrame) -> DataFrame:
                     .otherwise(several).alias("open_date")))
 
 
-def months_on_book(months: DataFrame, accounts: DataFrame, how: str = "left") -> DataFrame:
+def months_on_book(months: DataFrame, accounts: DataFrame, how: str = "left",
+                   unique: bool = True) -> DataFrame:
     """Add ``open_date`` and ``mob`` (calendar months from the opening month).
 
     ``how="left"`` keeps month rows without an account row (``open_date`` and
-    ``mob`` null); ``how="inner"`` drops them. ``accounts`` must have one row per
-    account (``unique_accounts``).
+    ``mob`` null); ``how="inner"`` drops them. With ``unique``, an account with
+    several rows fails the plan (``unique_accounts``); without, each month meets
+    every row of its account, as in the source.
     """
-    joined = months.join(unique_accounts(accounts), "account_id", how)
+    accounts = (unique_accounts(accounts) if unique else
+                accounts.where(F.col("account_id").isNotNull()).select("account_id", "open_date"))
+    joined = months.join(accounts, "account_id", how)
     return joined.withColumn("mob", month_diff(month_start("yr", "mo"), month_trunc("open_date")))
 
 

@@ -99,8 +99,25 @@ def account_profile(mob_fact: DataFrame, keys: Sequence[str] = ("account_id", "o
     return mob_fact.groupBy(*keys).agg(origination_limit().alias("credit_limit"), *aggs)
 
 
+def account_pairs(profile: DataFrame) -> DataFrame:
+    """The source's join of per-account rows with those of the same account: one row per pair.
+
+    A profile has a row per account and opening date. The source takes an application's limit
+    from one of them (``credit_limit``) and joins the account's rows back once more
+    for the balances to project (their limit is ``peer_limit``; all other columns are theirs). The
+    pairs are made inside one row per account, which holds its few opening dates, so the profile is
+    aggregated once and nothing is shuffled again.
+    """
+    rows = profile.withColumnRenamed("credit_limit", "peer_limit")
+    others = [c for c in rows.columns if c != "account_id"]
+    return (rows.groupBy("account_id").agg(F.collect_list(F.struct(*others)).alias("rows"))
+            .select("account_id", F.explode("rows.peer_limit").alias("credit_limit"), "rows")
+            .select("account_id", "credit_limit", F.inline("rows")))
+
+
 def profit_milestones(profit_month: DataFrame, accounts: DataFrame, universe: DataFrame, *,
-                      year_floor: int, months: Sequence[int] = VALUE_MILESTONES) -> DataFrame:
+                      year_floor: int, months: Sequence[int] = VALUE_MILESTONES,
+                      unique: bool = True) -> DataFrame:
     """Cumulative profit at each milestone MOB for accounts in ``universe``.
 
     A max is the same however often a row is repeated, so the universe (several
@@ -109,5 +126,5 @@ def profit_milestones(profit_month: DataFrame, accounts: DataFrame, universe: Da
     from linelift.operators.facts import months_on_book
 
     rows = restrict(profit_month.where(F.col("yr") >= year_floor), universe)
-    rows = months_on_book(rows, accounts, "inner").where(F.col("mob").isin(*months))
+    rows = months_on_book(rows, accounts, "inner", unique).where(F.col("mob").isin(*months))
     return rows.groupBy("account_id").agg(*milestone_values("profit_ltd", months, "profit"))

@@ -43,6 +43,11 @@ def target_limit(df: DataFrame, *, floor: int = TARGET_LIMIT,
     return df.where(F.col(limit) < floor).withColumn("new_limit", _money(floor))
 
 
+def _peer_limit(lines: DataFrame) -> Column:
+    """The limit that goes with a line's balances: its own, where accounts have several rows."""
+    return F.col("peer_limit" if "peer_limit" in lines.columns else "credit_limit")
+
+
 def peer_benchmarks(scenario: DataFrame, keys: Sequence[str] = BENCHMARK_KEYS) -> DataFrame:
     """Per peer group, delinquency rates (ratio of sums) and mean utilisations.
 
@@ -51,7 +56,7 @@ def peer_benchmarks(scenario: DataFrame, keys: Sequence[str] = BENCHMARK_KEYS) -
     rows (a 0 or null limit gives a null ratio, which the mean skips).
     The output has one row per group, so it is small whatever the input size.
     """
-    lim = F.col("credit_limit")
+    lim = _peer_limit(scenario)
     aggs = [safe_divide(F.sum(f"accts_dq_{m}m"), F.sum(f"accts_{m}m")).alias(f"rate_dq_{m}m")
             for m in RATE_MILESTONES]
     for m in UTIL_MILESTONES:
@@ -141,11 +146,12 @@ def grouped_scenario_totals(lines: DataFrame, keys: Sequence[str] = ("bureau_hit
     ]
     for m in milestones:
         use, use_dq = (safe_divide(floor_zero(f"{c}_{m}m"), lim) for c in ("bal", "bal_dq"))
+        peer, peer_dq = (safe_divide(floor_zero(f"{c}_{m}m"), _peer_limit(lines)) for c in ("bal", "bal_dq"))
         aggs += [
             safe_divide(F.sum(F.col(f"accts_dq_{m}m") * n), F.sum(F.col(f"accts_{m}m") * n))
             .alias(f"rate_dq_{m}m"),
-            fixed_mean(use, RATIO_BITS, n).alias(f"util_{m}m"),
-            fixed_mean(use_dq, RATIO_BITS, n).alias(f"util_dq_{m}m"),
+            fixed_mean(peer, RATIO_BITS, n).alias(f"util_{m}m"),
+            fixed_mean(peer_dq, RATIO_BITS, n).alias(f"util_dq_{m}m"),
             fixed_sum(F.when(has_limit, use * new), weight=n).alias(f"own_{m}m"),
             fixed_sum(F.when(has_limit, use_dq * new), weight=n).alias(f"own_dq_{m}m"),
             F.sum(F.col(f"bal_{m}m") * n).alias(f"act_{m}m"),

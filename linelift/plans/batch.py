@@ -10,8 +10,7 @@ session's shared ``spark.checkpoint.dir``, which also cuts lineage: a lost
 executor never re-runs the fact pass. Each report then reads the profile;
 ``ReportBatch.close`` deletes it.
 
-The profile needs unique accounts, like the reports (``unique_accounts`` checks
-it), and monthly rows unique per (account_id, yr, mo): then the activation
+The profile needs monthly rows unique per (account_id, yr, mo): then the activation
 report's per-month pre-aggregation is the identity.
 """
 
@@ -44,11 +43,17 @@ _UNIVERSES = {
 }
 
 
-def readers(names: list[str], p: Params = DEFAULT) -> list[str]:
+# Reports whose limit is the account's, over all its opening dates.
+_BY_ACCOUNT = ("limit_band_distribution", "risk_mix_by_band")
+
+
+def readers(names: list[str], p: Params = DEFAULT, accounts_unique: bool = True) -> list[str]:
     """The chosen reports that read the shared profile: not the one that reads no
-    monthly fact, nor those with a year floor of their own."""
+    monthly fact, nor those with a year floor or, if accounts have several rows, a grain of
+    their own."""
     other = {"lroi_by_cohort": p.roi_year_floor, "delinquency_what_if_target": p.r8_year_floor}
-    return [n for n in names if n in _UNIVERSES and other.get(n, p.year_floor) == p.year_floor]
+    return [n for n in names if n in _UNIVERSES and other.get(n, p.year_floor) == p.year_floor
+            and (accounts_unique or n not in _BY_ACCOUNT)]
 
 
 def profile_universe(t: TableSource, p: Params, names: list[str]) -> DataFrame:
@@ -123,7 +128,7 @@ def run_reports(t: TableSource, p: Params = DEFAULT, names: list[str] | None = N
     returned DataFrames are lazy and read it.
     """
     names = list(R.REPORTS) if names is None else names
-    shared = readers(names, p)
+    shared = readers(names, p, t.accounts_unique)
     if not shared:
         return ReportBatch({n: R.REPORTS[n](t, p) for n in names})
     profile, path, table = materialise_profile(t, p, profile_path, profile_universe(t, p, shared))

@@ -20,7 +20,7 @@ from linelift.sources.schema import TableSource
 
 
 def q_months_on_book(t: TableSource, p: Params = DEFAULT) -> DataFrame:
-    return facts.months_on_book(t.account_month, t.accounts).select(
+    return facts.months_on_book(t.account_month, t.accounts, unique=t.accounts_unique).select(
         "account_id", "yr", "mo", "open_date", "mob")
 
 
@@ -141,7 +141,8 @@ def q_net_placement(t: TableSource, p: Params = DEFAULT) -> DataFrame:
 
 def q_profit_milestones(t: TableSource, p: Params = DEFAULT) -> DataFrame:
     return profiles.profit_milestones(t.profit_month, t.accounts, R.roi_universe(t, p),
-                                      year_floor=p.roi_year_floor, months=p.horizons)
+                                      year_floor=p.roi_year_floor, months=p.horizons,
+                                      unique=t.accounts_unique)
 
 
 def q_limit_summary(t: TableSource, p: Params = DEFAULT) -> DataFrame:
@@ -166,6 +167,15 @@ def q_delinquency_target_later_balances(t: TableSource, p: Params = DEFAULT) ->
     return R.delinquency_what_if_target(t, p.with_(**LATER_BALANCES))
 
 
+def _reopened(report):
+    """A report over accounts that opened several times (S7): the limit of an application comes
+    from each opening, or from all of them together, and balances are joined back per pair."""
+    def query(t: TableSource, p: Params = DEFAULT) -> DataFrame:
+        return report(t.reopened, p)
+
+    return query
+
+
 EARLIER_FLOOR = {"year_floor": 1996, "roi_year_floor": 1995}
 LATER_BALANCES = {"target_from": "1995-11-01", "target_to": "1996-12-31", "target_year_floor": 1996}
 
@@ -197,6 +207,11 @@ OPERATORS = {
     "roi_by_horizon": q_roi_by_horizon,                  # D23
     "lroi_by_cohort_earlier_floor": q_lroi_earlier_floor,                              # R1, FLT7
     "delinquency_what_if_target_later_balances": q_delinquency_target_later_balances,  # R8, S16
+    "delinquency_what_if_total_reopened": _reopened(R.delinquency_what_if_total),      # R4, JN5, S7
+    "delinquency_what_if_target_reopened": _reopened(R.delinquency_what_if_target),    # R8, JN5, S7
+    "limit_band_distribution_reopened": _reopened(R.limit_band_distribution),          # R2, D2, S7
+    "lroi_by_cohort_reopened": _reopened(R.lroi_by_cohort),                            # R1, S7
+    "activation_by_band_reopened": _reopened(R.activation_by_band),                    # R9, S7
 }
 
 QUERIES = {**R.REPORTS, **OPERATORS}

@@ -20,7 +20,8 @@ from linelift.functions.columns import (UNIDENTIFIED_RISK_LABEL, mean_of, month_
 from linelift.operators.facts import (ALL_BUREAU, HIT_NOHIT, distinct_universe,
                                       eligible_applications, is_open, latest_applications,
                                       months_on_book, net_placement, open_account_months)
-from linelift.operators.profiles import (account_profile, activation_flag, delinquency_columns,
+from linelift.operators.profiles import (account_pairs, account_profile, activation_flag,
+                                         delinquency_columns,
                                          milestone_delinquency, milestone_values,
                                          origination_limit, profit_milestones, restrict)
 from linelift.operators.scenario import (attach_benchmarks, delinquency_ratios,
@@ -42,7 +43,7 @@ def month_fact(t: TableSource, p: Params, how: str = "left", year_floor: int | N
     months = open_account_months(t.account_month, info_type=p.info_type,
                                  year_floor=p.year_floor if year_floor is None else year_floor,
                                  excluded_statuses=p.closed_statuses)
-    return months_on_book(restrict(months, universe), t.accounts, how)
+    return months_on_book(restrict(months, universe), t.accounts, how, t.accounts_unique)
 
 
 def _latest(apps: DataFrame, p: Params) -> DataFrame:
@@ -65,22 +66,26 @@ def band_column(p: Params, **kw) -> Column:
 
 
 def account_limits(t: TableSource, p: Params, universe: DataFrame,
-                   profile: DataFrame | None = None) -> DataFrame:
+                   profile: DataFrame | None = None, by_account: bool = False) -> DataFrame:
     """account_id, open_date and origination limit of the accounts in ``universe``.
 
     ``profile``: a precomputed per-account profile (``plans.batch``) to read
-    instead of aggregating the monthly fact again.
+    instead of aggregating the monthly fact again. ``by_account``: one row per account
+    where accounts have several opening dates (D2 has both grains in the source).
     """
     if profile is not None:
         return profile.select("account_id", "open_date", "credit_limit")
-    return account_profile(month_fact(t, p, universe=universe))
+    by_account = by_account and not t.accounts_unique
+    return account_profile(month_fact(t, p, universe=universe),
+                           ("account_id",) if by_account else ("account_id", "open_date"))
 
 
 def banded(t: TableSource, p: Params, apps: DataFrame, *keys: str,
            profile: DataFrame | None = None) -> DataFrame:
-    """Applications collapsed to account, ``keys`` and income class, with their band."""
+    """Applications collapsed to account, ``keys`` and income class, with their band (R2, R7: the
+    limit is the account's, over all its opening dates)."""
     lines = collapse(apps, "account_id", *keys, high_income(p))
-    return (lines.join(account_limits(t, p, lines, profile), "account_id", "inner")
+    return (lines.join(account_limits(t, p, lines, profile, by_account=True), "account_id", "inner")
             .withColumn("limit_band", band_column(p, high_income=F.col("high_income"))))
 
 
@@ -108,9 +113,9 @@ def _placed_and_profit(t: TableSource, p: Params, base: DataFrame,
     """
     months = getattr(t, "month_with_profit", None)
     shared = profile is not None and p.roi_year_floor == p.year_floor
-    if months is not None and not shared:
+    if months is not None and not shared and t.accounts_unique:
         rows = restrict(months.where(F.col("yr") >= p.roi_year_floor), base)
-        rows = months_on_book(rows, t.accounts, "inner").withColumn(
+        rows = months_on_book(rows, t.accounts, "inner", t.accounts_unique).withColumn(
             "is_open", F.coalesce(is_open(p.info_type, p.closed_statuses), F.lit(False)))
         at_open = F.col("is_open")
         return (rows.groupBy("account_id", "open_date").agg(
@@ -128,7 +133,7 @@ def _placed_and_profit(t: TableSource, p: Params, base: DataFrame,
                                  ("account_id", "open_date"),
                                  *milestone_values("placed", p.horizons, "placed"))
     profit = profit_milestones(t.profit_month, t.accounts, base, year_floor=p.roi_year_floor,
-                               months=p.horizons)
+                               months=p.horizons, unique=t.accounts_unique)
     return placed.join(profit, "account_id", "left")
 
 
@@ -153,7 +158,7 @@ def lroi_by_cohort(t: TableSource, p: Params = DEFAULT, *,
     accounts whose origination limit is below the target limit."""
     return (roi_by_horizon(roi_accounts(t, p, profile),
                            ["open_period", "bureau_hit", "risk_label"], p.horizons,
-                           unique_accounts=True)
+                           unique_accounts=t.accounts_unique)
             .orderBy("open_period", "bureau_hit", "risk_label"))
 
 
@@ -200,10 +205,12 @@ def _delinquency_profile(t: TableSource, p: Params, universe: DataFrame, target:
     levels = dict(p.delinquency_levels)
     floor = p.r8_year_floor if target else p.year_floor
     if profile is not None and floor == p.year_floor:
-        return profile.select("account_id", "open_date", "credit_limit",
-                              *delinquency_columns(levels))
-    return account_profile(month_fact(t, p, year_floor=floor, universe=universe),
-                           ("account_id", "open_date"), *milestone_delinquency(levels))
+        shared = profile.select("account_id", "open_date", "credit_limit",
+                                *delinquency_columns(levels))
+        return shared if t.accounts_unique else account_pairs(shared)
+    found = account_profile(month_fact(t, p, year_floor=floor, universe=universe),
+                            ("account_id", "open_date"), *milestone_delinquency(levels))
+    return found if t.accounts_unique else account_pairs(found)
 
 
 def scenario_lines(t: TableSource, p: Params, *, target: bool = False,
@@ -325,7 +332,7 @@ def activation_detail(t: TableSource, p: Params, universe: DataFrame | None = No
                                  excluded_statuses=p.closed_statuses)
     if getattr(t, "account_buckets", None) is None:
         months = months.repartition("account_id")
-    fact = months_on_book(restrict(months, universe), t.accounts)
+    fact = months_on_book(restrict(months, universe), t.accounts, unique=t.accounts_unique)
     monthly = (fact.groupBy("account_id", "credit_limit", "open_date", "yr", "mo", "mob")
                .agg(F.max("first_purchase_date").alias("first_purchase_date")))
     return (monthly.groupBy("account_id", "open_date")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -73,19 +74,32 @@ class TableSource(Protocol):
     @property
     def profit_month(self) -> DataFrame: ...
 
+    @property
+    def accounts_unique(self) -> bool:
+        """Whether no account has several rows in ``accounts``."""
+        ...
+
     def as_dict(self) -> dict[str, DataFrame]: ...
 
 
 @dataclass(frozen=True)
 class Tables:
     """The model's inputs. ``account_month`` and ``profit_month`` are keyed by
-    (account_id, yr, mo); ``accounts`` is keyed by account_id."""
+    (account_id, yr, mo); ``accounts`` is keyed by account_id, or by account_id and
+    open_date (an account that was opened several times)."""
 
     applications: DataFrame
     accounts: DataFrame
     account_month: DataFrame
     profit_month: DataFrame
 
+    @cached_property
+    def accounts_unique(self) -> bool:
+        """Looked up in the table when it is first asked for."""
+        from linelift.operators.facts import accounts_repeat
+
+        return not accounts_repeat(self.accounts)
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
 

@@ -148,6 +148,17 @@ def accounts(raw: dict[str, DataFrame]) -> DataFrame:
         SCHEMAS["accounts"], "accounts")
 
 
+def account_openings(raw: dict[str, DataFrame]) -> DataFrame:
+    """``accounts`` with several rows for many accounts: an account opens with its first
+    completed order, and once more with its first order that is still open."""
+    orders = raw["orders"]
+    return conform(
+        orders.where(F.col("o_orderstatus").isin("F", "O"))
+        .groupBy(F.col("o_custkey").alias("account_id"), "o_orderstatus")
+        .agg(F.min("o_orderdate").cast("date").alias("open_date")),
+        SCHEMAS["accounts"], "accounts")
+
+
 def applications(raw: dict[str, DataFrame]) -> DataFrame:
     """Status from the priority, risk level from the order's value, label from the nation."""
     orders, customer = raw["orders"], raw["customer"]
@@ -179,10 +190,17 @@ class DerivedTables:
 
     Same attributes as :class:`Tables`; each plan is built on first access,
     so a report that reads only applications never builds the monthly facts.
+    ``openings``: an account's row per opening (``account_openings``) instead of one.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._raw = read_raw(spark, sf_dir)
+    def __init__(self, raw: dict[str, DataFrame], openings: bool = False):
+        self._raw = raw
+        self.accounts_unique = not openings
+
+    @property
+    def reopened(self) -> "DerivedTables":
+        """The same tables with a row per opening of an account."""
+        return DerivedTables(self._raw, openings=True)
 
     @cached_property
     def _customer_month(self) -> DataFrame:
@@ -194,7 +212,7 @@ class DerivedTables:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return accounts(self._raw)
+        return accounts(self._raw) if self.accounts_unique else account_openings(self._raw)
 
     @cached_property
     def account_month(self) -> DataFrame:
@@ -212,6 +230,6 @@ class DerivedTables:
         return {name: getattr(self, name) for name in SCHEMAS}
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> TableSource:
+def load_tables(spark: SparkSession, sf_dir: str, openings: bool = False) -> TableSource:
     """Derive the four portfolio tables from the test tables in ``sf_dir`` (lazily)."""
-    return DerivedTables(spark, sf_dir)
+    return DerivedTables(read_raw(spark, sf_dir), openings)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linelift.operators.facts import accounts_repeat
 from linelift.sources.schema import SCHEMAS, TableSource, conform
 
 BUCKET_KEY = "account_id"
@@ -44,6 +45,7 @@ VERSIONS = T.StructType([
     T.StructField("written_at", T.StringType()),
     T.StructField("version", T.StringType()),
     T.StructField("buckets", T.IntegerType()),
+    T.StructField("accounts_unique", T.BooleanType()),
 ])
 
 
@@ -99,8 +101,8 @@ def open_bucketed(spark: SparkSession, path: str, schema: T.StructType, buckets:
 
 # ---------------------------------------------------------------- versions
 
-def versions(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
-    """(written_at, version, buckets) of every finished write, oldest first."""
+def versions(spark: SparkSession, path: str) -> list[tuple[str, str, int, bool]]:
+    """(written_at, version, buckets, accounts_unique) of every finished write, oldest first."""
     try:
         rows = spark.read.schema(VERSIONS).json(f"{path.rstrip('/')}/_versions").collect()
     except AnalysisException:  # nothing was ever written
@@ -132,8 +134,10 @@ def write_tables(tables: TableSource, path: str, mode: str = "overwrite",
             write_bucketed(df, target, buckets, PARTITION_BY.get(name, ()))
         else:
             df.sortWithinPartitions(*SORT_BY[name]).write.parquet(target)
+    written = StoredTables(spark, path, version, buckets, False)
+    unique = not accounts_repeat(written.accounts)  # bucketed by account: no shuffle
     now = dt.datetime.now(dt.timezone.utc).isoformat(timespec="microseconds")
-    (spark.createDataFrame([(now, version, buckets)], VERSIONS).coalesce(1)
+    (spark.createDataFrame([(now, version, buckets, unique)], VERSIONS).coalesce(1)
      .write.mode("append").json(f"{path}/_versions"))
     return version
 
@@ -142,11 +146,11 @@ def vacuum_tables(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     """Delete all finished versions but the ``keep`` newest; their names. Readers that still
     have one of them open must be done."""
     old = versions(spark, path)[:-keep] if keep > 0 else []
-    for _, version, _ in old:
+    for _, version, *_ in old:
         for name in BUCKETED:
             spark.sql(f"DROP TABLE IF EXISTS {_table_name(version, name)}")
         delete_folder(spark, f"{path.rstrip('/')}/{version}")
-    return [version for _, version, _ in old]
+    return [version for _, version, *_ in old]
 
 
 def _table_name(version: str, table: str) -> str:
@@ -159,11 +163,14 @@ class StoredTables:
     Each table is opened (file listing, schema check) on first access, so a
     report touches only the tables it reads. ``account_buckets``: into how many
     buckets of accounts the dimension and the monthly facts are dealt.
+    ``accounts_unique``: found out when they were written.
     """
 
-    def __init__(self, spark: SparkSession, path: str, version: str, buckets: int):
+    def __init__(self, spark: SparkSession, path: str, version: str, buckets: int,
+                 accounts_unique: bool):
         self._spark, self._path = spark, f"{path.rstrip('/')}/{version}"
         self.version, self.account_buckets = version, buckets
+        self.accounts_unique = accounts_unique
 
     def _open(self, name: str) -> DataFrame:
         schema, path = SCHEMAS[name], f"{self._path}/{name}"
@@ -201,8 +208,8 @@ class StoredTables:
 
 def read_tables(spark: SparkSession, path: str, version: str | None = None) -> StoredTables:
     """The newest version of the tables under ``path`` (or the one named), opened lazily."""
-    found = {v: b for _, v, b in versions(spark, path)}
+    found = {v: rest for _, v, *rest in versions(spark, path)}
     if not found or version is not None and version not in found:
         raise FileNotFoundError(f"no {'such version' if found else 'finished tables'} under {path}")
     version = version or list(found)[-1]
-    return StoredTables(spark, path, version, found[version])
+    return StoredTables(spark, path, version, *found[version])

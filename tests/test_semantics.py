@@ -63,14 +63,73 @@ def test_only_the_two_statuses_are_extracted(spark, tables_small, status):
     assert R.risk_mix_by_band(tables_small, p).count() == 0
 
 
+@pytest.fixture(scope="module")
+def reopened(spark, tables_small):
+    """Accounts with one to three rows, some of them equal, and the same relations in DuckDB."""
+    import duckdb
+
+    accounts = tables_small.accounts
+    accounts = (accounts.unionByName(accounts.where("account_id % 3 = 0"))
+                .unionByName(accounts.where("account_id % 2 = 0")
+                             .withColumn("open_date", F.add_months("open_date", 5)))
+                .unionByName(accounts.where("account_id % 4 = 0")
+                             .withColumn("open_date", F.add_months("open_date", -1)))).cache()
+    t = Tables(tables_small.applications, accounts, tables_small.account_month, tables_small.profit_month)
+    con = duckdb.connect()
+    for name, df in t.as_dict().items():
+        con.register(f"{name}_rows", df.toArrow())
+        con.execute(f"create table {name} as select * from {name}_rows")
+    yield t, con
+    con.close()
+
+
+@pytest.mark.parametrize("name", list(R.REPORTS))
+def test_repeated_accounts_as_in_the_source(reopened, name):
+    """An application meets each of its account's openings; R4 and R8 join the balances of each
+    back to the limit of each."""
+    from oracle_compare import compare
+
+    t, con = reopened
+    assert t.accounts_unique is False
+    sql = oracle_sql(surrogates=False)[name]
+    assert compare(R.REPORTS[name](t, DEFAULT), con, sql) == []
+    with run_reports(t, DEFAULT, [name]) as batch:
+        assert compare(batch[name], con, sql) == []
+
+
+def test_repeated_accounts_stored(spark, reopened, tmp_path):
+    from linelift.sources.warehouse import read_tables, write_tables
+    from oracle_compare import compare
+
+    t, con = reopened
+    write_tables(t, str(tmp_path / "t"))
+    stored = read_tables(spark, str(tmp_path / "t"))
+    assert stored.accounts_unique is False
+    for name in ("delinquency_what_if_total", "limit_band_distribution"):
+        assert compare(R.REPORTS[name](stored, DEFAULT), con, oracle_sql(surrogates=False)[name]) == []
+
+
+def test_row_level_scenario_agrees_with_repeated_accounts(reopened):
+    from linelift.operators import scenario
+
+    t, _ = reopened
+    for target in (False, True):
+        rows = R.scenario_projection(t, DEFAULT, target=target,
+                                     statuses=("HIT", "NOHIT") if target else ("HIT", "THIN FILE", "NOHIT"))
+        total = scenario.delinquency_ratios(scenario.scenario_totals(rows)).orderBy("bureau_hit", "risk_label")
+        report = R.delinquency_what_if_target if target else R.delinquency_what_if_total
+        assert total.collect() == report(t, DEFAULT).collect()
+
+
 @pytest.mark.parametrize("name", [n for n in R.REPORTS if n != "application_volume_pivot"])
-def test_repeated_accounts_are_refused(spark, tables_small, name):
-    twice = tables_small.accounts.unionByName(tables_small.accounts.where("account_id % 3 = 0"))
-    t = Tables(tables_small.applications, twice, tables_small.account_month, tables_small.profit_month)
-    with pytest.raises(Exception, match="several rows for account_id"):
-        R.REPORTS[name](t, DEFAULT).collect()
+def test_a_source_that_wrongly_claims_unique_accounts_is_refused(reopened, name):
+    t, _ = reopened
+
+    class Claims(Tables):
+        accounts_unique = True
+
     with pytest.raises(Exception, match="several rows for account_id"):
-        run_reports(t, DEFAULT, [name])[name].collect()
+        R.REPORTS[name](Claims(**t.as_dict()), DEFAULT).collect()
 
 
 def test_exact_sums_do_not_depend_on_the_order(spark):
