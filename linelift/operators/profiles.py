@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelift.functions.columns import col_, floor_zero, month_diff
+from linelift.operators.bloom import may_contain
 
 # Milestone month on book -> minimum delinquency level that
 # counts as delinquent there (entry at 2, 30+ at 3 and 6, 90+ at 9 and 12).
@@ -75,7 +76,8 @@ def activation_flag(first_purchase: Column | str = "first_purchase_date",
     return F.max(F.when(hit, 1).otherwise(0))
 
 
-def restrict(fact: DataFrame, universe: DataFrame | None, key: str = "account_id") -> DataFrame:
+def restrict(fact: DataFrame, universe: DataFrame | None, key: str = "account_id",
+             prefilter: bool = False) -> DataFrame:
     """Keep only fact rows whose key occurs in ``universe`` (left-semi join).
 
     Used below an aggregate keyed by ``key`` whose result is later inner-joined
@@ -87,9 +89,15 @@ def restrict(fact: DataFrame, universe: DataFrame | None, key: str = "account_id
     applications collapses to one row in the partial aggregate of each map
     task instead of landing on one semi-join task, and the de-duplication's
     exchange is the hash partitioning the semi join needs anyway.
+
+    ``prefilter``: drop most foreign rows in the fact's scan stage by a bounded Bloom filter
+    over the keys (``operators.bloom``). It pays where the key set is too large to be broadcast
+    and the fact must be shuffled; the semi join behind it decides.
     """
     if universe is None:
         return fact
+    if prefilter:
+        fact = fact.where(may_contain(universe, key))
     return fact.join(universe.select(key).distinct(), key, "left_semi")
 
 
@@ -117,7 +125,7 @@ def account_pairs(profile: DataFrame) -> DataFrame:
 
 def profit_milestones(profit_month: DataFrame, accounts: DataFrame, universe: DataFrame, *,
                       year_floor: int, months: Sequence[int] = VALUE_MILESTONES,
-                      unique: bool = True) -> DataFrame:
+                      unique: bool = True, prefilter: bool = False) -> DataFrame:
     """Cumulative profit at each milestone MOB for accounts in ``universe``.
 
     A max is the same however often a row is repeated, so the universe (several
@@ -125,6 +133,6 @@ def profit_milestones(profit_month: DataFrame, accounts: DataFrame, universe: Da
     """
     from linelift.operators.facts import months_on_book
 
-    rows = restrict(profit_month.where(F.col("yr") >= year_floor), universe)
+    rows = restrict(profit_month.where(F.col("yr") >= year_floor), universe, prefilter=prefilter)
     rows = months_on_book(rows, accounts, "inner", unique).where(F.col("mob").isin(*months))
     return rows.groupBy("account_id").agg(*milestone_values("profit_ltd", months, "profit"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linelift.functions.columns import clean_label, month_trunc, period_label
 from linelift.operators import facts, profiles, scenario, skew, summaries
+from linelift.plans import profile_state
 from linelift.plans import reports as R
 from linelift.plans.params import DEFAULT, Params
 from linelift.sources.schema import TableSource
@@ -176,6 +177,16 @@ def _reopened(report):
     return query
 
 
+def q_delinquency_target_prefiltered(t: TableSource, p: Params = DEFAULT) -> DataFrame:
+    """R8 with a Bloom filter over its accounts before the monthly fact is shuffled (JN2)."""
+    return R.delinquency_what_if_target(t, p.with_(prefilter_accounts=True))
+
+
+def q_profile_in_steps(t: TableSource, p: Params = DEFAULT) -> DataFrame:
+    """The account profile folded from one state per year of months."""
+    return profile_state.folded_by_year(t, p)
+
+
 EARLIER_FLOOR = {"year_floor": 1996, "roi_year_floor": 1995}
 LATER_BALANCES = {"target_from": "1995-11-01", "target_to": "1996-12-31", "target_year_floor": 1996}
 
@@ -211,6 +222,8 @@ OPERATORS = {
     "delinquency_what_if_target_reopened": _reopened(R.delinquency_what_if_target),    # R8, JN5, S7
     "limit_band_distribution_reopened": _reopened(R.limit_band_distribution),          # R2, D2, S7
     "lroi_by_cohort_reopened": _reopened(R.lroi_by_cohort),                            # R1, S7
+    "delinquency_what_if_target_prefiltered": q_delinquency_target_prefiltered,        # R8, JN2
+    "profile_in_steps": q_profile_in_steps,                                            # D2, D3a, D3b, D10
     "activation_by_band_reopened": _reopened(R.activation_by_band),                    # R9, S7
 }
 

@@ -40,6 +40,7 @@ class Params:
     horizons: tuple[int, ...] = VALUE_MILESTONES
     risk_levels: tuple[int, ...] = RISK_LEVELS
     dedupe_applications: bool = False      # keep an account's latest application only
+    prefilter_accounts: bool = False       # Bloom filter before the monthly facts are shuffled
 
     def __post_init__(self) -> None:
         dates = {f: getattr(self, f) for f in ("window_from", "window_to", "roi_from", "trend_after",

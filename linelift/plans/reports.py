@@ -36,14 +36,27 @@ from linelift.sources.schema import TableSource
 
 # ---------------------------------------------------------------- shared steps
 
+def _prefilter(t: TableSource, p: Params) -> bool:
+    """Facts in buckets are not shuffled, so there is nothing to spare."""
+    return p.prefilter_accounts and getattr(t, "account_buckets", None) is None
+
+
+def open_months(t: TableSource, p: Params, year_floor: int, life_to_date: bool) -> DataFrame:
+    """D7. Without ``life_to_date`` the columns that count from an account's opening on may be
+    missing; a source that derives them can then leave out the months before the floor."""
+    recent = None if life_to_date else getattr(t, "recent_months", None)
+    months = t.account_month if recent is None else recent(year_floor)
+    return open_account_months(months, info_type=p.info_type, year_floor=year_floor,
+                               excluded_statuses=p.closed_statuses)
+
+
 def month_fact(t: TableSource, p: Params, how: str = "left", year_floor: int | None = None,
-               universe: DataFrame | None = None) -> DataFrame:
+               universe: DataFrame | None = None, life_to_date: bool = True) -> DataFrame:
     """Open monthly rows of the product with ``open_date`` and ``mob`` (D7 + D1),
     of the accounts in ``universe`` if given."""
-    months = open_account_months(t.account_month, info_type=p.info_type,
-                                 year_floor=p.year_floor if year_floor is None else year_floor,
-                                 excluded_statuses=p.closed_statuses)
-    return months_on_book(restrict(months, universe), t.accounts, how, t.accounts_unique)
+    months = open_months(t, p, p.year_floor if year_floor is None else year_floor, life_to_date)
+    return months_on_book(restrict(months, universe, prefilter=_prefilter(t, p)), t.accounts, how,
+                          t.accounts_unique)
 
 
 def _latest(apps: DataFrame, p: Params) -> DataFrame:
@@ -76,7 +89,7 @@ def account_limits(t: TableSource, p: Params, universe: DataFrame,
     if profile is not None:
         return profile.select("account_id", "open_date", "credit_limit")
     by_account = by_account and not t.accounts_unique
-    return account_profile(month_fact(t, p, universe=universe),
+    return account_profile(month_fact(t, p, universe=universe, life_to_date=False),
                            ("account_id",) if by_account else ("account_id", "open_date"))
 
 
@@ -114,7 +127,8 @@ def _placed_and_profit(t: TableSource, p: Params, base: DataFrame,
     months = getattr(t, "month_with_profit", None)
     shared = profile is not None and p.roi_year_floor == p.year_floor
     if months is not None and not shared and t.accounts_unique:
-        rows = restrict(months.where(F.col("yr") >= p.roi_year_floor), base)
+        rows = restrict(months.where(F.col("yr") >= p.roi_year_floor), base,
+                        prefilter=_prefilter(t, p))
         rows = months_on_book(rows, t.accounts, "inner", t.accounts_unique).withColumn(
             "is_open", F.coalesce(is_open(p.info_type, p.closed_statuses), F.lit(False)))
         at_open = F.col("is_open")
@@ -133,7 +147,8 @@ def _placed_and_profit(t: TableSource, p: Params, base: DataFrame,
                                  ("account_id", "open_date"),
                                  *milestone_values("placed", p.horizons, "placed"))
     profit = profit_milestones(t.profit_month, t.accounts, base, year_floor=p.roi_year_floor,
-                               months=p.horizons, unique=t.accounts_unique)
+                               months=p.horizons, unique=t.accounts_unique,
+                               prefilter=_prefilter(t, p))
     return placed.join(profit, "account_id", "left")
 
 
@@ -208,7 +223,7 @@ def _delinquency_profile(t: TableSource, p: Params, universe: DataFrame, target:
         shared = profile.select("account_id", "open_date", "credit_limit",
                                 *delinquency_columns(levels))
         return shared if t.accounts_unique else account_pairs(shared)
-    found = account_profile(month_fact(t, p, year_floor=floor, universe=universe),
+    found = account_profile(month_fact(t, p, year_floor=floor, universe=universe, life_to_date=False),
                             ("account_id", "open_date"), *milestone_delinquency(levels))
     return found if t.accounts_unique else account_pairs(found)
 
@@ -328,11 +343,11 @@ def activation_detail(t: TableSource, p: Params, universe: DataFrame | None = No
     first, so the fact is hash partitioned by account_id once (stored in buckets, it is
     already) and both, and the joins before them, run without another exchange.
     """
-    months = open_account_months(t.account_month, info_type=p.info_type, year_floor=p.year_floor,
-                                 excluded_statuses=p.closed_statuses)
+    months = open_months(t, p, p.year_floor, life_to_date=False)
     if getattr(t, "account_buckets", None) is None:
         months = months.repartition("account_id")
-    fact = months_on_book(restrict(months, universe), t.accounts, unique=t.accounts_unique)
+    fact = months_on_book(restrict(months, universe, prefilter=_prefilter(t, p)), t.accounts,
+                          unique=t.accounts_unique)
     monthly = (fact.groupBy("account_id", "credit_limit", "open_date", "yr", "mo", "mob")
                .agg(F.max("first_purchase_date").alias("first_purchase_date")))
     return (monthly.groupBy("account_id", "open_date")

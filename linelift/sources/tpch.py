@@ -66,9 +66,21 @@ def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             for name, schema in RAW_SCHEMAS.items()}
 
 
-def customer_month(raw: dict[str, DataFrame]) -> DataFrame:
-    """One row per (customer, ship year, ship month) with every monthly measure."""
+def customer_month(raw: dict[str, DataFrame], year_floor: int | None = None) -> DataFrame:
+    """One row per (customer, ship year, ship month) with every monthly measure.
+
+    ``year_floor``: only months from that year on, as a range of ship dates that reaches the scan
+    of ``lineitem`` and skips its row groups.
+
+    A month's status is its smallest. The minimum of a string would make the aggregate over the
+    largest relation sort its rows, so it is taken over the statuses' places in their sorted
+    list, which the plan reads from ``orders`` itself.
+    """
     lineitem, orders = raw["lineitem"], raw["orders"]
+    if year_floor is not None:
+        start = F.to_timestamp_ntz(F.lit(f"{year_floor:04d}-01-01 00:00:00"))
+        lineitem = lineitem.where(F.col("l_shipdate") >= start)
+    statuses = orders.agg(F.array_sort(F.collect_set("o_orderstatus"))).scalar()
     ship = F.col("l_shipdate").cast("date")
     qty = F.col("l_quantity").cast("int")
     returned = F.col("l_returnflag") == "R"
@@ -82,7 +94,7 @@ def customer_month(raw: dict[str, DataFrame]) -> DataFrame:
                  F.year(ship).cast("int").alias("yr"),
                  F.month(ship).cast("int").alias("mo"))
         .agg(
-            F.min("o_orderstatus").alias("status_code"),
+            F.min(F.array_position(statuses, F.col("o_orderstatus"))).alias("status_place"),
             F.max("l_linenumber").alias("delinquency_level"),
             F.sum(F.when(returned, -100).otherwise(100) * qty).alias("net_units"),
             F.min("l_extendedprice").alias("min_price"),
@@ -95,6 +107,8 @@ def customer_month(raw: dict[str, DataFrame]) -> DataFrame:
             F.sum(F.when(completed, F.when(returned, -50).otherwise(80) * qty))
             .alias("profit_units"),
         )
+        .withColumn("status_code", F.get(statuses, (F.col("status_place") - 1).cast("int")))
+        .drop("status_place")
     )
 
 
@@ -107,7 +121,10 @@ def _life_to_date(col: str, scale: int = 0) -> F.Column:
     return (total / F.lit(10 ** scale) if scale else total).cast(MONEY)
 
 
-def _month_columns() -> list[F.Column]:
+LIFE_TO_DATE = ("purchases_ltd", "returns_ltd")
+
+
+def _month_columns(life_to_date: bool = True) -> list[F.Column]:
     return [
         "account_id", "yr", "mo",
         F.lit(PRODUCT_CODE).alias("info_type"),
@@ -117,8 +134,8 @@ def _month_columns() -> list[F.Column]:
         F.when(F.col("max_discount") > 0, (F.floor(F.col("min_price") / 2000) * 500).cast(MONEY))
         .alias("credit_limit"),
         "first_purchase_date",
-        _life_to_date("purchase_cents", 2).alias("purchases_ltd"),
-        _life_to_date("return_cents", 2).alias("returns_ltd"),
+        *([_life_to_date("purchase_cents", 2).alias("purchases_ltd"),
+           _life_to_date("return_cents", 2).alias("returns_ltd")] if life_to_date else []),
     ]
 
 
@@ -218,6 +235,11 @@ class DerivedTables:
     def account_month(self) -> DataFrame:
         return account_month(self._customer_month)
 
+    def recent_months(self, year_floor: int) -> DataFrame:
+        """``account_month`` from a year on, without the columns that sum up an account's life;
+        only those need the ship dates before it."""
+        return customer_month(self._raw, year_floor).select(*_month_columns(life_to_date=False))
+
     @cached_property
     def profit_month(self) -> DataFrame:
         return profit_month(self._customer_month)
