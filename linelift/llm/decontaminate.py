@@ -32,8 +32,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 RARE_SHARE = 1000
 """An n-gram in at most one of this many documents is always a seed."""
-ALIGNED = 4_000
-"""Windows aligned at a time."""
+ALIGNED_WORDS = 1 << 20
+"""Words of items and windows (padded to the longest of each) that are aligned at a time; a single
+longer window is aligned alone."""
 
 _WORD = re.compile(r"\w+")
 
@@ -69,16 +70,19 @@ def make_block(items: list[tuple], n: int) -> Block:
 
 
 def seeds_of(block: Block, df: dict, documents: int) -> Block:
-    """The block with the seeds alone: per item its rarer half of n-grams, and all that
-    occur in at most one of RARE_SHARE documents."""
+    """The block with the seeds alone: of the n-grams that occur in any document, per item the
+    rarer half, and all that occur in at most one of RARE_SHARE documents."""
     counts = np.array([df.get(int(g), 0) for g in block.grams], np.int64)
-    keep = counts * RARE_SHARE <= documents
+    occurs = counts > 0
+    keep = occurs & (counts * RARE_SHARE <= documents)
     order = np.argsort(block.item, kind="stable")
     starts = np.searchsorted(block.item[order], np.arange(len(block.ids) + 1))
     for a, b in zip(starts[:-1], starts[1:]):
         if b > a:
             own = order[a:b]
-            keep[own] |= counts[own] <= np.median(counts[own])
+            own = own[occurs[own]]
+            if len(own):
+                keep[own] |= counts[own] <= np.median(counts[own])
     return Block(block.ids, block.tokens, block.grams[keep], block.item[keep], block.at[keep])
 
 
@@ -127,59 +131,73 @@ def local_scores(a: np.ndarray, a_len: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _windows(item: np.ndarray, shift: np.ndarray, lengths: np.ndarray) -> Iterator[tuple]:
-    """(item, start, stop, hits): hits of one item with near diagonals share a window."""
+    """(item, start, stop, hits): each hit's window reaches as far around its diagonal as an
+    edited copy may; windows of one item that overlap are one, so a text's windows of an
+    item have no more words than the text and their ends."""
     order = np.lexsort((shift, item))
     item, shift = item[order], shift[order]
-    i = 0
-    while i < len(item):
+    reach = lengths[item] + 2 * (lengths[item] // 4 + 4)
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > reach[1:])
+    first = np.flatnonzero(new)
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(item)]):
         length = int(lengths[item[i]])
         pad = length // 4 + 4
-        j = i
-        while j < len(item) and item[j] == item[i] and shift[j] <= shift[i] + pad:
-            j += 1
         yield int(item[i]), int(shift[i]) - pad, int(shift[j - 1]) + length + pad, j - i
-        i = j
 
 
 def _align(block: Block, found: list[tuple]) -> list[float]:
     """Scores, as shares of a perfect copy's, of (doc words, item, start, stop)."""
-    out = np.zeros(len(found))
-    for s in range(0, len(found), ALIGNED):
-        part = found[s:s + ALIGNED]
-        a_len = np.array([len(block.tokens[f[1]]) for f in part])
-        a = np.zeros((len(part), a_len.max()), np.uint64)
-        b = np.zeros((len(part), max(f[3] - f[2] for f in part)), np.uint64)
-        for k, (doc, item, start, stop) in enumerate(part):
-            a[k, :a_len[k]] = block.tokens[item]
-            window = doc[max(0, start):stop]
-            b[k, :len(window)] = window
-        out[s:s + len(part)] = local_scores(a, a_len, b) / (MATCH * a_len)
-    return out.tolist()
-
-
-def _matches(block: Block, finder: _Finder, n: int, batch_words: list[np.ndarray]) -> list[tuple]:
-    """(row, item, score, start, hits) of every window aligned."""
+    a_len = np.array([len(block.tokens[f[1]]) for f in found])
+    a = np.zeros((len(found), a_len.max()), np.uint64)
+    b = np.zeros((len(found), max(len(f[0][max(0, f[2]):f[3]]) for f in found)), np.uint64)
+    for k, (doc, item, start, stop) in enumerate(found):
+        a[k, :a_len[k]] = block.tokens[item]
+        window = doc[max(0, start):stop]
+        b[k, :len(window)] = window
+    return (local_scores(a, a_len, b) / (MATCH * a_len)).tolist()
+
+
+def _hits(block: Block, finder: _Finder, sizes: set, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, diagonal) of every seed in a text."""
+    items, shifts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for size in sizes:
+        at, index = finder.find(ngram_hashes(doc, size))
+        if len(at):
+            repeat = finder.last[index] - index
+            entry = np.repeat(index - np.concatenate([[0], np.cumsum(repeat)[:-1]]), repeat) + np.arange(repeat.sum())
+            items.append(block.item[entry])
+            shifts.append(np.repeat(at, repeat) - block.at[entry])
+    return np.concatenate(items), np.concatenate(shifts)
+
+
+def _matches(block: Block, finder: _Finder, n: int, texts: Iterator[np.ndarray]) -> Iterator[tuple]:
+    """(row, item, score, start, hits) of every window, aligned in batches of bounded size."""
     lengths = np.array([len(t) for t in block.tokens])
-    last = finder.last
-    found, where = [], []
-    for row, doc in enumerate(batch_words):
-        hits_item, hits_shift = [], []
-        for size in {n, *(len(t) for t in block.tokens if 0 < len(t) < n)}:
-            at, index = finder.find(ngram_hashes(doc, size))
-            if not len(at):
-                continue
-            repeat = last[index] - index
-            at = np.repeat(at, repeat)
-            entry = np.concatenate([np.arange(i, j) for i, j in zip(index, last[index])])
-            hits_item.append(block.item[entry])
-            hits_shift.append(at - block.at[entry])
-        if hits_item:
-            for item, start, stop, hits in _windows(np.concatenate(hits_item),
-                                                    np.concatenate(hits_shift), lengths):
-                found.append((doc, item, start, stop))
-                where.append((row, item, max(0, start), hits))
-    return [(row, item, score, start, hits) for (row, item, start, hits), score in
-            zip(where, _align(block, found))]
+    sizes = {n, *(len(t) for t in block.tokens if 0 < len(t) < n)}
+    found: list[tuple] = []
+    where: list[tuple] = []
+    most = 0  # words of the largest item and window at hand
+
+    def flush() -> Iterator[tuple]:
+        for (row, item, start, hits), score in zip(where, _align(block, found) if found else []):
+            yield row, item, score, start, hits
+        found.clear()
+        where.clear()
+
+    for row, doc in enumerate(texts):
+        item_of, shift = _hits(block, finder, sizes, doc)
+        if not len(item_of):
+            continue
+        for item, start, stop, hits in _windows(item_of, shift, lengths):
+            words = int(lengths[item]) + min(len(doc), stop) - max(0, start)
+            if found and max(most, words) * (len(found) + 1) > ALIGNED_WORDS:
+                yield from flush()
+                most = 0
+            most = max(most, words)
+            found.append((doc, item, start, stop))
+            where.append((row, item, max(0, start), hits))
+    yield from flush()
 
 
 def _document_words(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
@@ -263,7 +281,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N,
             for batch in small(batches, 256):
                 best: dict = {}
                 for row, item, score, start, hits in _matches(
-                        block, finder, n, list(_document_words(batch, 1))):
+                        block, finder, n, _document_words(batch, 1)):
                     if score >= min_score and score > best.get((row, item), (0.0,))[0]:
                         best[row, item] = (score, hits, start)
                 ids = batch.column(0).to_pylist()
@@ -296,7 +314,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_score: float
             finder = _Finder(table.value.grams)
             for batch in small(batches, 256):
                 dirty = {m[0] for m in _matches(table.value, finder, n,
-                                                list(_document_words(batch, text_at)))
+                                                _document_words(batch, text_at))
                          if m[2] >= min_score}
                 yield batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)],
                                             pa.bool_()))

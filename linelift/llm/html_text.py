@@ -30,9 +30,11 @@ from linelift.llm.common import need_columns, ship_package
 
 MAX_PAGES = 256
 """Pages that the trees are fitted on."""
-MAX_FITTED_CHARS = 100_000
-"""Longer pages are not fitted on (all pages are extracted whole)."""
-TREES, DEPTH, RATE, EDGES = 40, 4, 0.3, 24
+MAX_CHARS = 1 << 20
+"""Default of ``train``'s ``max_chars``: longer pages are not fitted on, which bounds the sample in
+characters too. All pages are extracted whole."""
+REBUILT_PAGES = 320
+TREES, DEPTH, RATE, EDGES = 80, 4, 0.3, 24
 
 # ------------------------------------------------------------------ parsing
 
@@ -73,9 +75,18 @@ class Page:
 
 
 def _attribute_tokens(attributes: str) -> tuple:
+    """The words of class, id and role; NAMED first if one of the names is a wanted part's alone."""
     if "=" not in attributes:
         return ()
-    return tuple(t for v in _ATTRIBUTE.findall(attributes) for t in _TOKEN.findall(v.lower()))
+    values = [v.lower().strip("\"'") for v in _ATTRIBUTE.findall(attributes)]
+    words = tuple(t for v in values for t in _TOKEN.findall(v))
+    return (NAMED, *words) if any(_TOKENS.get(name) == GOOD for v in values for name in v.split()) else words
+
+
+def token_groups(tokens: tuple) -> set[int]:
+    """The groups that an element's words belong to: of a "post comment-count" the wanted one
+    alone, of a "comment-content" both."""
+    return {GOOD} if NAMED in tokens else {_TOKENS[t] for t in tokens if t in _TOKENS}
 
 
 def parse(source: str | None) -> Page:
@@ -84,8 +95,16 @@ def parse(source: str | None) -> Page:
     page = Page()
     source = source or ""
     stack = [(0, "#root")]
+    open_at: dict[str, list[int]] = {}  # tag -> places in the stack, so none is searched for
     block, at = 0, 0
 
+    def last(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            open_at[stack.pop()[1]].pop()
+
     def text(upto: int) -> None:
         if upto > at:
             piece = source[at:upto]
@@ -105,20 +124,13 @@ def parse(source: str | None) -> Page:
                 block += 1
             elif name in ("td", "th"):
                 page.add("#text", stack[-1][0], (), " ", block)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == name:
-                    del stack[k:]
-                    break
+            if open_at.get(name):
+                close(open_at[name][-1])
             continue
         for closed, scope in ((CLOSES.get(name), SCOPES.get(name)),
                               ({"p"} if name in CLOSES_P else None, SCOPES["p"])):
-            if closed:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] in closed:
-                        del stack[k:]
-                        break
-                    if stack[k][1] in scope:
-                        break
+            if closed and (k := last(closed)) > last(scope - closed):
+                close(k)
         if name in BLOCK:
             block += 1
         if name in ("br", "td", "th"):
@@ -128,6 +140,7 @@ def parse(source: str | None) -> Page:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif name not in VOID and not m.group(3).endswith("/"):
+            open_at.setdefault(name, []).append(len(stack))
             stack.append((node, name))
     text(len(source))
     return page
@@ -157,7 +170,8 @@ _TOKENS = {}
 for _i, _g in enumerate(TOKEN_GROUPS):
     for _t in _g:
         _TOKENS.setdefault(_t, _i)
-GOOD = 0
+GOOD, NAMED = 0, "*"
+MOST_OF_PAGE = 0.8
 
 N_FEATURES = 2 * len(TAG_GROUPS) + 2 * len(TOKEN_GROUPS) + 14
 
@@ -205,9 +219,9 @@ def node_features(page: Page) -> np.ndarray:
         g = _GROUP.get(page.tag[i])
         if g is not None:
             row[g] = 1
-        for t in page.tokens[i]:
-            k = _TOKENS.get(t)
-            if k is not None:
+        for k in token_groups(page.tokens[i]):
+            # an element with most of the page's text is not a part of it, whatever its theme's words
+            if k == GOOD or chars[i] < MOST_OF_PAGE * total:
                 row[2 * tags + k] = 1
     c, e = np.array(chars, np.float32), np.array(elements, np.float32)
     li, d = np.array(links, np.float32), np.array(depth, np.float32)
@@ -307,6 +321,33 @@ def decode(page: Page, margin: np.ndarray) -> np.ndarray:
     return main
 
 
+def whole_runs(page: Page, main: np.ndarray) -> np.ndarray:
+    """``main`` with the leaves of a run of text (one block under one block element) decided
+    together, by its characters: a word before a link says little alone. Elements inside
+    the run with words of unwanted parts are left out of it."""
+    n = len(page.tag)
+    holder, own = [0] * n, [True] * n  # the nearest block element; no unwanted element up to it
+    runs: dict[tuple, list[int]] = {}
+    for i in range(1, n):
+        p, tag = page.parent[i], page.tag[i]
+        if tag in BLOCK or tag in ("td", "th"):
+            holder[i] = i
+            continue
+        holder[i] = holder[p]
+        own[i] = (own[p] or holder[p] == p) and tag not in RAW and not token_groups(page.tokens[i]) - {GOOD}
+        if tag == "#text" and own[i]:
+            runs.setdefault((page.block[i], holder[i]), []).append(i)
+    main = main.copy()
+    for leaves in runs.values():
+        kept = sum(len(page.text[i]) for i in leaves if main[i])
+        if kept and 2 * kept >= sum(len(page.text[i]) for i in leaves):
+            for i in leaves:
+                while not main[i]:  # up to the block element, which is main as another leaf is
+                    main[i] = True
+                    i = page.parent[i]
+    return main
+
+
 def blocks(page: Page, main: np.ndarray) -> str:
     """Text of the main leaves: white space to one space inside a block, blocks joined by
     an empty line."""
@@ -333,7 +374,7 @@ def extract(model: dict, sources: list[str | None]) -> list[str]:
     margin = margins(model, np.concatenate(x))
     out, at = [], 0
     for page, rows in zip(pages, x):
-        out.append(blocks(page, decode(page, margin[at:at + len(rows)])))
+        out.append(blocks(page, whole_runs(page, decode(page, margin[at:at + len(rows)]))))
         at += len(rows)
     return out
 
@@ -354,12 +395,18 @@ def labels_from(page: Page, is_main) -> np.ndarray:
     return y
 
 
+# Attribute words of wanted parts that name unwanted ones.
+TRAPS = ["comment-count", "has-sidebar", "no-ads", "share-enabled", "with-header", "nav-open",
+         "popup-enabled", "footer-visible", "related-off", "hentry has-banner"]
+
 _UNWANTED = {"nav", "header", "footer", "aside", "form", "dialog", "menu"} | RAW
 MAIN_MARK, JUNK_MARK = "zzmain", "zzjunk"
 
 
 def _semantic(page: Page, i: int, inside: bool) -> bool:
-    if page.tag[i] in _UNWANTED or any(_TOKENS.get(t, GOOD) != GOOD for t in page.tokens[i]):
+    """Inside a semantic article, but for unwanted elements and those whose attributes have
+    words of unwanted parts."""
+    if page.tag[i] in _UNWANTED or token_groups(page.tokens[i]) - {GOOD}:
         return False
     return inside or page.tag[i] in ("article", "main")
 
@@ -418,8 +465,9 @@ def _rebuilt(rng: random.Random, texts: list[str]) -> str:
         elif kind < .82:
             body.append(f"<h2>{t[:60]}</h2>")
         elif kind < .9:
-            body.append("<ul>" + "".join(f"<li>{x}</li>" for x in some(rng.randint(2, 5), 20))
-                        + "</ul>")
+            item = rng.choice(("<li>%s</li>", "<li>%s</li>", "<li><a href='#'>%s</a></li>",
+                               "<li><p>%s <a href='#'>more</a></p></li>"))
+            body.append("<ul>" + "".join(item % x for x in some(rng.randint(2, 5), 20)) + "</ul>")
         elif kind < .95:
             body.append(f"<blockquote>{t} <a href='#'>{some(1, 3)[0]}</a></blockquote>")
         else:
@@ -433,15 +481,20 @@ def _rebuilt(rng: random.Random, texts: list[str]) -> str:
             else f' class="{MAIN_MARK}"')
     if tag == "div" and rng.random() < .3:
         attr = f' class="{MAIN_MARK}"'
+    if rng.random() < .35 and (tag in ("article", "main") or rng.choice(TOKEN_GROUPS[GOOD]) in attr):
+        attr = f' class="{MAIN_MARK} {rng.choice(TOKEN_GROUPS[GOOD])} {rng.choice(TRAPS)}"'
+    elif rng.random() < .2 and tag in ("article", "main"):
+        attr = f' class="{MAIN_MARK} {rng.choice(TRAPS)}"'
     main = f"<{tag}{attr}>{''.join(body)}</{tag}>"
     before = [junk(g) for g in (1, 2, 5, 6) if rng.random() < .6]
     after = [junk(g) for g in (4, 7, 3, 8, 5, 6, 1) if rng.random() < .45]
     rng.shuffle(before)
     page = "".join(before) + main + "".join(after)
     for _ in range(rng.randint(0, 2)):
-        page = rng.choice(('<div>%s</div>', '<div id="page">%s</div>', '<div class="wrap">%s</div>')
-                          ) % page
-    return ("<html><head><title>t</title><style>p{}</style></head><body>" + page
+        page = rng.choice(('<div>%s</div>', '<div id="page">%s</div>', '<div class="wrap">%s</div>',
+                           f'<div class="site {rng.choice(TRAPS)}">%s</div>')) % page
+    theme = f' class="{rng.choice(TRAPS)} {rng.choice(TRAPS)}"' if rng.random() < .3 else ""
+    return (f"<html><head><title>t</title><style>p{{}}</style></head><body{theme}>" + page
             + "<script>x=1;</script></body></html>")
 
 
@@ -462,7 +515,7 @@ def fit_pages(sources: list[str]) -> dict:
             xs.append(node_features(page))
             ys.append(y)
     texts = texts or ["some words of a text, which has a few sentences. It goes on, and on."]
-    for _ in range(max(MAX_PAGES, 2 * len(sources))):
+    for _ in range(REBUILT_PAGES):
         page = parse(_rebuilt(rng, texts))
         ys.append(labels_from(page, _planted))
         xs.append(node_features(_unmarked(page)))
@@ -475,15 +528,16 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      ["model"])
 
 
-def train(pages: DataFrame, *, max_pages: int = MAX_PAGES) -> dict:
-    """Fit on the ``max_pages`` pages whose page_id has the smallest MD5."""
+def train(pages: DataFrame, *, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS) -> dict:
+    """Fit on the ``max_pages`` pages whose page_id has the smallest MD5, of those of at most
+    ``max_chars`` characters."""
     ship_package(pages.sparkSession)
     order = F.md5(F.col("page_id").cast("string").cast("binary"))
     chosen = (pages.where(F.col("page_id").isNotNull()
-                          & (F.length("html") <= MAX_FITTED_CHARS))
+                          & (F.length("html") <= max_chars))
               .select("page_id").distinct().orderBy(order).limit(max_pages))
     rows = (pages.join(F.broadcast(chosen), "page_id")  # max_pages rows
-            .groupBy("page_id").agg(F.max(F.when(F.length("html") <= MAX_FITTED_CHARS,
+            .groupBy("page_id").agg(F.max(F.when(F.length("html") <= max_chars,
                                                  F.col("html"))).alias("html")))
     models = (rows.repartition(1).sortWithinPartitions(order).select("html")
               .mapInArrow(_fit, "model binary").collect())

@@ -36,14 +36,12 @@ _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def shape(word: str) -> str:
-    """Letters as x or X, digits as 0, runs of one kind once or twice."""
+    """Letters as x or X, digits as 0, runs of one kind once or twice, of the whole word."""
     out: list[str] = []
     for c in word:
         s = "0" if c.isdigit() else ("X" if c.isupper() else "x") if c.isalpha() else c
         if out[-2:] != [s, s]:
             out.append(s)
-        if len(out) == 12:
-            break
     return "".join(out)
 
 

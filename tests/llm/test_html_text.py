@@ -112,3 +112,24 @@ def test_query_table(spark, sources):
     assert by_id[3]["text"] == article(sources[3]) and by_id[None]["text"] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+def test_pages_written_by_hand(model):
+    from gold_pages import GOLD
+
+    got = H.extract(model, [s for s, _ in GOLD])
+    wrong = [(k, g, "\n\n".join(w)) for k, ((_, w), g) in enumerate(zip(GOLD, got)) if g != "\n\n".join(w)]
+    assert len(wrong) <= 0.05 * len(GOLD), wrong
+
+
+def test_parser_is_linear_in_depth():
+    import time
+
+    def seconds(source):
+        t = time.perf_counter()
+        H.parse(source)
+        return time.perf_counter() - t
+
+    for inner in ("<div>", "<p><table><div>", "<p><button><div><span>", "<ul><li>"):
+        few, many = (min(seconds(inner * n + "x") for _ in range(3)) for n in (4_000, 32_000))
+        assert many < 20 * few + 0.5, inner

@@ -132,3 +132,14 @@ def test_a_long_document_is_dealt_in_slices(docs, monkeypatch):
 
 def test_pack_empty(docs):
     assert packing.pack(docs([]), tokenizer=WORD).count() == 0
+
+
+def test_pre_tokens_are_not_shuffled(spark, docs):
+    """Only the ids and texts of the bounded sample go through an exchange."""
+    rows = docs([(i, f"word{i} and more") for i in range(50)])
+    table = token_counts.frequent_lengths(rows, BYTE, sample_docs=10)
+    assert table and all(isinstance(k, bytes) and n > 0 for k, n in table.items())
+    plan = token_counts.token_counts(rows, tokenizer=BYTE)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    some = {r["n_tokens"] for r in token_counts.token_counts(rows, tokenizer=BYTE, sample_docs=1).collect()}
+    assert some == {r["n_tokens"] for r in token_counts.token_counts(rows, tokenizer=BYTE, table_entries=0).collect()}

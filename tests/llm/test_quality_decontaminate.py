@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from llm_helpers import EDGE_TEXTS, random_text
 
+from linelift.llm import decontaminate
 from linelift.llm import decontaminate as D
 from linelift.llm import quality as Q
 
@@ -148,3 +149,117 @@ def test_empty_sides(spark, docs):
     some = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert D.contaminated(docs([]), some).count() == 0
     assert D.contaminated(docs([(5, "x A, b! c d"), (5, "x A, b! c d"), (None, "a b c d")]), some).count() == 3
+
+
+def test_query_against_plain_training_and_scoring(spark):
+    """op3 from its definition: dictionaries instead of arrays, one feature at a time."""
+    import hashlib
+    import math
+    import zlib
+
+    import xxhash
+    from linelift.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()
+              if r["quality"] is not None}
+
+    def shape(word):
+        kinds = ["0" if c.isdigit() else ("X" if c.isupper() else "x") if c.isalpha() else c for c in word]
+        return "".join(k for i, k in enumerate(kinds) if not (i > 1 and kinds[i - 1] == kinds[i - 2] == k))
+
+    mix = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+    def place(kind, *parts):
+        h = kind
+        for part, m in zip(parts, mix):
+            h = ((h ^ part) * m) % 2**64
+            h ^= h >> 32
+        return h >> 64 - 18
+
+    def bag(text):
+        words = text.split()
+        w = [xxhash.xxh32_intdigest(x.lower()) for x in words]
+        f = [xxhash.xxh32_intdigest(shape(x), seed=1) for x in words]
+        kinds = [[place(1, a) for a in w], [place(2, a) for a in f],
+                 [place(3, *g) for g in zip(w, w[1:])], [place(4, *g) for g in zip(f, f[1:])],
+                 [place(5, int(a == b)) for a, b in zip(w, w[1:])],
+                 [place(6, *g) for g in zip(f, f[1:], f[2:])], [place(7, int(a == b)) for a, b in zip(w, w[2:])]]
+        out = {}
+        for kind in kinds:
+            for i in kind:
+                out[i] = out.get(i, 0.0) + 8.0 / len(kind)
+        return out
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-min(max(x, -35.0), 35.0)))
+
+    z, n = {}, {}
+
+    def weight(i):
+        s = z.get(i, 0.0)
+        return 0.0 if abs(s) <= 0.02 else -(s - math.copysign(0.02, s)) / ((1 + math.sqrt(n[i])) / 0.3 + 0.1)
+
+    train = sorted((d for d in labels if d in texts and zlib.crc32(str(d).encode()) % 5),
+                   key=lambda d: hashlib.md5(str(d).encode()).hexdigest())[:8192]
+    rows = [({**bag(texts[d]), "bias": 1.0}, labels[d]) for d in train]
+    for epoch in range(4):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            features, label = rows[k]
+            error = sigmoid(sum(v * weight(i) for i, v in features.items())) - label
+            for i, v in features.items():
+                g, old, w = error * v, n.get(i, 0.0), weight(i)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(old)) / 0.3 * w
+    got = {r["doc_id"]: r for r in QUERIES["op3_quality"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        score = sigmoid(sum(v * weight(i) for i, v in bag(text).items()) + weight("bias"))
+        assert abs(got[d]["score"] - score) < 1e-6
+        assert got[d]["predicted"] == int(got[d]["score"] >= 0.3)
+        assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0)
+
+
+def edited(rng, words, share, vocabulary):
+    out = []
+    for w in words:
+        if rng.random() >= share:
+            out.append(w)
+        else:
+            kind = rng.randrange(3)
+            out += [[rng.choice(vocabulary)], [], [w, rng.choice(vocabulary)]][kind]
+    return out
+
+
+@pytest.mark.parametrize("share,least", [(0.1, 1.0), (0.2, 0.97), (0.3, 0.9)])
+def test_recall_on_edited_copies(spark, share, least):
+    rng = random.Random(int(share * 100))
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(25, 60))]) for i in range(120)]
+    docs = [(i, [rng.choice(vocabulary) for _ in range(300)]) for i in range(200)]
+    for i, words in items:
+        at = rng.randrange(300)
+        docs.append((1000 + i, docs[i][1][:at] + edited(rng, words, share, vocabulary) + docs[i][1][at:]))
+    found = decontaminate.contaminated(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in found}
+    assert len(pairs & {(1000 + i, i) for i, _ in items}) >= least * len(items)
+    assert not {d for d, i in pairs if d != 1000 + i}
+
+
+def test_long_items_and_repeated_words_stay_bounded():
+    import resource
+
+    rng = random.Random(2)
+    item = [f"w{rng.randrange(50_000)}" for _ in range(20_000)]
+    block = decontaminate.make_block([(i, "same " * 12) for i in range(50)] + [(99, " ".join(item))], 3)
+    finder = decontaminate._Finder(block.grams)
+    texts = [decontaminate.text_words(t) for t in ("same " * 5000, " ".join(item[3000:6000]), " ".join(item))]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    best = {}
+    for row, i, score, *_ in decontaminate._matches(block, finder, 3, iter(texts)):
+        best[row, i] = max(score, best.get((row, i), 0))
+    assert all(best[0, i] == 1.0 for i in range(50)) and best[2, 50] == 1.0 and 0.1 < best[1, 50] < 0.2
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # KB
