@@ -44,6 +44,51 @@ def test_token_query(spark):
     assert sorted(map(tuple, QUERIES["op5_token_counts"](spark, SF).collect())) == sorted(want)
 
 
+def test_packing_query(spark):
+    """Every id of every document once, in pieces that fill sequences without gaps."""
+    word = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op10_pack"](spark, SF).collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(pieces) == set(texts)
+    for doc_id, text in texts.items():
+        ids, at = word.encode(text, add_special_tokens=False).ids + [1], 0
+        for r in sorted(pieces[doc_id], key=lambda r: r["start"]):
+            part = ids[at:at + r["length"]]
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and len(part) == r["length"] > 0
+            assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+            at += r["length"]
+        assert at == len(ids)
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_decontamination_query(spark):
+    """All pairs of whole documents and items by plain alignment of the whole texts."""
+    import numpy as np
+
+    from linelift.llm import decontaminate as D
+
+    docs = [(r["doc_id"], D.text_words(r["text"])) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], D.text_words(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = {}
+    for item_id, item in items:
+        for doc_id, doc in docs:
+            if len(doc) and len(item) and len(np.intersect1d(doc, item)) * 2 >= 0.4 * len(set(item.tolist())):
+                score = D.local_scores(item[None], np.array([len(item)]), doc[None])[0] / (2 * len(item))
+                if score >= 0.5:
+                    want[doc_id, item_id] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in QUERIES["op9_decontaminate"](spark, SF).collect()}
+    assert want and got == pytest.approx(want)
+
+
 def test_pipeline_against_brute_force(spark):
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
