@@ -82,9 +82,9 @@ def _pieces(tokenizer: str, length: int, groups: int, seed: int):
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(),
-                                    batch.column(1).cast(pa.large_binary())):
-                packed = ids.encode(text.as_py() or b"") + end
+            for doc_id, text_ids in zip(batch.column(0).to_pylist(),
+                                        ids.encode_batch(batch.column(1))):
+                packed = b"".join((text_ids, end))
                 total = len(packed) // 4
                 row += 1
                 for start in range(0, total, length):

@@ -10,6 +10,11 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED_BYTES = 64
 """Longer chunks are encoded each time and not kept."""
@@ -28,6 +33,22 @@ _CUT = re.compile("(?<=[^\\s᠎​‌‍⁠﻿])(?=[ \t\n\r\x0b\x0c])")
 _WORD_MARKS = re.compile(rb"([A-Za-z\x80-\xff]+)([!\"#$%&()*+,./:;=?@|~-]+)")
 
 
+# Letters whose normal form is themselves and whose lower case is one letter each, whatever
+# stands beside them: Latin without U+0130, which becomes a letter and a mark.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte -> the character that a byte-level vocabulary writes for it: itself if it is printable,
+    else the next one from U+0100 on."""
+    printable = [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return dict(zip(printable, printable)) | {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def word_and_marks(chunk: bytes) -> tuple[bytes, bytes] | None:
     """The letters and the marks of a chunk that is just that."""
     m = _WORD_MARKS.fullmatch(chunk)
@@ -109,23 +130,48 @@ class Ids(_Cache):
     def __missing__(self, word: bytes) -> bytes:
         packed = self.old.get(word)
         if packed is None:
-            if (parts := word_and_marks(word)) and stays_letters(parts[0]):
+            if word.isalpha() and word.islower():  # ASCII letters, a pre-token as they stand
+                packed = self._tokenize(word.decode())
+            elif _LATIN.fullmatch(text := word.decode()):  # so is their lower case, byte by byte
+                packed = self._tokenize(text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))
+            elif (parts := word_and_marks(word)) and stays_letters(parts[0]):
                 packed = self[parts[0]] + self[parts[1]]
             else:
-                # lower-case ASCII letters are a pre-token as they stand
-                ids = ([t.id for t in self.model.tokenize(word.decode())]
-                       if word.isalpha() and word.islower() else
-                       self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-                packed = struct.pack(f"<{len(ids)}I", *ids)
+                packed = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return self.keep(word, packed)
 
+    def _tokenize(self, pre_token: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(pre_token)])
+
     def encode(self, data: bytes) -> bytes:
         """The packed ids of a text."""
+        return b"".join(self.encode_batch(pa.array([data], pa.binary()).cast(pa.string())))
+
+    def encode_batch(self, texts: pa.Array) -> Iterator[memoryview]:
+        """The packed ids of each text (null: none). A word is looked up once for all of them."""
+        texts = pc.fill_null(texts, "")
         # The vocabulary lower-cases after composing; doing it before is the same unless
         # a mark (U+0300 to U+036F) composes with a letter or a special string appears.
-        if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
-            data = data.lower()
-        return b"".join(map(self.__getitem__, data.split()))
+        as_is = [b"\xcc" in data or b"\xcd" in data or b"<|" in data for data in _objects(texts)]
+        texts = pc.if_else(pa.array(as_is, pa.bool_()), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        known = pa.array(list(map(self.__getitem__, _objects(words.dictionary))), pa.large_binary())
+        packed = memoryview(known.take(words.indices).buffers()[2] or b"").cast("B")
+        sizes = pc.binary_length(known).to_numpy()[words.indices.to_numpy()]
+        before = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        at = 0
+        for end in before[np.cumsum(pc.list_value_length(lists).to_numpy())].tolist():
+            yield packed[at:end]
+            at = end
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _objects(texts: pa.Array) -> np.ndarray:
+    return texts.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
 
 
 _caches: dict = {}
