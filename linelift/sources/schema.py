@@ -79,6 +79,12 @@ class TableSource(Protocol):
         """Whether no account has several rows in ``accounts``."""
         ...
 
+    @property
+    def reopened(self) -> "TableSource":
+        """The tables with a row per opening of an account: themselves, unless the source
+        derives ``accounts`` and can choose."""
+        ...
+
     def as_dict(self) -> dict[str, DataFrame]: ...
 
 
@@ -100,6 +106,11 @@ class Tables:
 
         return not accounts_repeat(self.accounts)
 
+    @property
+    def reopened(self) -> "Tables":
+        """These tables; ``accounts`` holds the openings that it was given."""
+        return self
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
 

@@ -197,6 +197,11 @@ class StoredTables:
     def profit_month(self) -> DataFrame:
         return self._open("profit_month")
 
+    @property
+    def reopened(self) -> "StoredTables":
+        """These tables; ``accounts`` holds the openings that were written."""
+        return self
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
 

@@ -109,6 +109,20 @@ def test_repeated_accounts_stored(spark, reopened, tmp_path):
         assert compare(R.REPORTS[name](stored, DEFAULT), con, oracle_sql(surrogates=False)[name]) == []
 
 
+@pytest.mark.parametrize("name", ["delinquency_what_if_total", "limit_band_distribution"])
+def test_queries_over_openings_read_given_tables(spark, reopened, tmp_path, name):
+    """Tables in memory or stored hold their openings already; the query reads them as they are."""
+    from linelift.plans.catalog import QUERIES
+    from linelift.sources.warehouse import read_tables, write_tables
+    from oracle_compare import compare
+
+    t, con = reopened
+    sql = oracle_sql(surrogates=False)[f"{name}_reopened"]
+    write_tables(t, str(tmp_path / "t"))
+    for source in (t, read_tables(spark, str(tmp_path / "t"))):
+        assert compare(QUERIES[f"{name}_reopened"](source, DEFAULT), con, sql) == []
+
+
 def test_row_level_scenario_agrees_with_repeated_accounts(reopened):
     from linelift.operators import scenario
 
