@@ -19,12 +19,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linelift.llm.common import need_columns, ship_package
+from linelift.llm.common import need_columns, ship_package, small
 from linelift.llm.pretokens import Ids, worker_cache
 
 END_ID = 1
 PIECES_PER_SLICE = 1024
 """A document of more pieces is dealt to several groups, in slices of this many."""
+ROWS_AT_ONCE = 512
+"""Rows whose words are looked up together, so that a worker holds few of them as objects."""
 
 PIECES = ("pack_group long, doc_id long, start long, length long, ids_crc32 long, "
           "doc_tokens long")
@@ -80,7 +82,7 @@ def _pieces(tokenizer: str, length: int, groups: int, seed: int):
 
         ids = worker_cache(Ids, tokenizer)
         part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small(batches, ROWS_AT_ONCE):
             out = [[] for _ in range(6)]
             for doc_id, text_ids in zip(batch.column(0).to_pylist(),
                                         ids.encode_batch(batch.column(1))):
@@ -98,6 +100,7 @@ def _pieces(tokenizer: str, length: int, groups: int, seed: int):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
                                              PIECE_NAMES)
+            pa.default_memory_pool().release_unused()
 
     return run
 
